@@ -39,7 +39,7 @@ from sparrowlake.llm.common import add_columns
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts are encoded in blocks of about so many characters, and so many chunks are remembered.
-BLOCK_CHARS, MEMO_CHUNKS = 12_000_000, 700_000
+BLOCK_CHARS, MEMO_CHUNKS = 6_000_000, 400_000
 _SPACE, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 
 
@@ -312,18 +312,43 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     return add_columns(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
+def packed(ids: list[np.ndarray]) -> pa.Array:
+    """Each list of ids as little-endian unsigned 32-bit integers."""
+    return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+
+
+def _decoder(path: str):
+    m = load(path)
+
+    def of(found) -> str:
+        try:
+            return m.decode(found)
+        except (IndexError, TypeError):
+            return m.decode([i for i in found if i is not None and 0 <= i < len(m.bytes)])
+
+    return of
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the text that each list of ids stands for; bytes that are not UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
 
     def make():
-        m = load(path)
+        of = _decoder(path)
+        return lambda lists: [pa.array([of(x or []) for x in lists.to_pylist()], pa.string())]
 
-        def of(found: list[int] | None) -> str:
-            try:
-                return m.decode(found or [])
-            except (IndexError, TypeError):
-                return m.decode([i for i in found if i is not None and 0 <= i < len(m.bytes)])
+    return add_columns(df, ids, [T.StructField(decoded, T.StringType())], make)
 
-        return lambda lists: [pa.array([of(x) for x in lists.to_pylist()], pa.string())]
 
-    return add_columns(df, ids, [T.StructField(decoded, T.StringType())], make)
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` with the ids packed into a binary column, and ``decode`` of just those bytes, in one pass over the texts."""
+
+    def make():
+        enc, of = block_encoder(path), _decoder(path)
+
+        def both(texts: pa.Array) -> list[pa.Array]:
+            held = packed(enc.encode_blocks(texts.to_pylist()))
+            return [held, pa.array([of(np.frombuffer(x.as_py(), "<u4").tolist()) for x in held], pa.string())]
+
+        return both
+
+    return add_columns(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())], make)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -49,8 +50,22 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (or bytes) in column ``at`` add up to about ``most`` bytes, so that memory follows bytes and not rows."""
+    kind = batch.column(at).type
+    if not (pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind)):
+        yield batch
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(size) - size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def add_columns(df: DataFrame, source: str, new: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
-    """``df`` with Arrow columns computed from column ``source``, batch by batch; ``make`` runs once a task and returns the function of a batch."""
+    """``df`` with Arrow columns computed from column ``source``, a slice of a batch at a time; ``make`` runs once a task and returns the function of a slice."""
     names = [f.name for f in new]
     if source.lower() in {n.lower() for n in names}:
         raise ValueError(f"{source} is read, so it can't be replaced")
@@ -59,8 +74,9 @@ def add_columns(df: DataFrame, source: str, new: list[T.StructField], make: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(at))], names=[*b.schema.names, *names])
+        for batch in batches:
+            for b in slices(batch, at):
+                yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(at))], names=[*b.schema.names, *names])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
 

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparrowlake.llm import bpe, sharding, token_orc
 from sparrowlake.plans.registry import Registry, table
@@ -30,12 +25,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 @REGISTRY.query("op3_bpe_codec")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf(T.StringType())
-    def digest(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
-
-    found = bpe.decode(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path()), tokenizer_path())
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @REGISTRY.query("op8_token_orc")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowlake.llm import bpe
-from sparrowlake.llm.common import new_path
+from sparrowlake.llm.common import new_path, slices
 
 IDS = T.ArrayType(T.IntegerType())
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
@@ -68,7 +68,7 @@ def write(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text
 
     def run(batches):
         enc, part, before = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1)):
             ids = [np.append(x, np.int32(end_id)) for x in enc.encode_blocks(b.column(1).to_pylist())]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             offsets = before + np.cumsum(sizes) - sizes
