@@ -70,8 +70,11 @@ def test_groups_and_chains(spark):
 
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, 400).astype(np.uint64)
-    pairs = [(np.unique(base), np.unique(np.concatenate([base[:300], rng.integers(0, 2**63, 100).astype(np.uint64)]))) for _ in range(40)]
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    pairs = []
+    for _ in range(60):
+        base = new(400)
+        pairs.append((np.unique(base), np.unique(np.concatenate([base[:300], new(100)]))))
     a, b = (near_dup.sketch([p[i] for p in pairs], 288) for i in (0, 1))
     assert not (a == near_dup.EMPTY).any()
     assert abs((a == b).mean() - 300 / 500) < 0.02
