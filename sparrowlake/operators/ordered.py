@@ -12,28 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _offsets(buckets: DataFrame, totals: list[str], descending: bool) -> DataFrame:
+def _offsets(buckets: DataFrame, totals: list[str], descending: bool, keys: list[str]) -> DataFrame:
     order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return buckets.select("_bucket", *(F.coalesce(F.sum(t).over(w), F.lit(0)).alias(f"_before_{t}") for t in totals))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.select(*keys, "_bucket", *(F.coalesce(F.sum(t).over(w), F.lit(0)).alias(f"_before_{t}") for t in totals))
 
 
-def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
-    """``df`` with the 1-based position of each row in the order; ``bucket`` is never null and never falls along it."""
+def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank", keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df`` with the 1-based position of each row in the order, within ``keys``; ``bucket`` is never null and never falls along the order, keys are not null."""
     x = df.withColumn("_bucket", bucket)
-    offsets = _offsets(x.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")), ["n"], False)
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    # one row a bucket: bounded by the number of buckets that the caller chose
-    return x.withColumn("_place", place).join(F.broadcast(offsets), "_bucket").withColumn(name, (F.col("_before_n") + F.col("_place")).cast("bigint")).drop("_bucket", "_place", "_before_n")
+    offsets = _offsets(x.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n")), ["n"], False, keys)
+    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    # a row a bucket (and key): Spark broadcasts it if its measured size is small
+    return x.withColumn("_place", place).join(offsets, [*keys, "_bucket"]).withColumn(name, (F.col("_before_n") + F.col("_place")).cast("bigint")).drop("_bucket", "_place", "_before_n")
 
 
 def running(df: DataFrame, bucket: Column, order: list[Column], sums: list[str], descending: bool = False) -> DataFrame:
     """``df`` with ``cum_<column>`` for each of ``sums``: the sum up to and including the row. ``descending``: the order runs from high buckets to low."""
     x = df.withColumn("_bucket", bucket)
-    offsets = _offsets(x.groupBy("_bucket").agg(*(F.sum(s).alias(s) for s in sums)), sums, descending)
+    offsets = _offsets(x.groupBy("_bucket").agg(*(F.sum(s).alias(s) for s in sums)), sums, descending, [])
     w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumns({f"_in_{s}": F.sum(s).over(w) for s in sums})
-    x = x.join(F.broadcast(offsets), "_bucket")
+    x = x.join(offsets, "_bucket")
     return x.withColumns({f"cum_{s}": F.col(f"_before_{s}") + F.col(f"_in_{s}") for s in sums}).drop("_bucket", *(f"_in_{s}" for s in sums), *(f"_before_{s}" for s in sums))
 
 
