@@ -93,3 +93,9 @@ def recommend(history: DataFrame, sim: DataFrame, k: int = 10, weighted: bool =
 def merge_cooccurrence(old: DataFrame, new: DataFrame) -> DataFrame:
     """Co-occurrence counts add up when the batches hold different users."""
     return old.unionByName(new).groupBy("item_i", "item_j").agg(F.sum("together").alias("together"))
+
+
+def regression(x: DataFrame, support: int = 5) -> DataFrame:
+    """item_i, item_j, slope, intercept: the rating of j by that of i over their co-raters, where i's ratings differ."""
+    s = _co(x.withColumn("v", F.col("r")), F.regr_slope("vb", "va").alias("slope"), F.regr_intercept("vb", "va").alias("intercept"), F.count(F.lit(1)).alias("n"))
+    return s.where((F.col("n") >= support) & F.col("slope").isNotNull()).select("item_i", "item_j", "n", (F.round("slope", 10) + 0.0).alias("slope"), (F.round("intercept", 10) + 0.0).alias("intercept"))

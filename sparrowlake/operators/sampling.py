@@ -103,3 +103,13 @@ def hard_negatives(vectors: DataFrame, key: str, vector: str, anchor: object, lo
     one = vectors.where(F.col(key) == anchor).select(F.col(vector).alias("_q")).limit(1)  # one row is broadcast
     x = vectors.where(F.col(key) != anchor).crossJoin(F.broadcast(one)).withColumn("similarity", cosine(F.col(vector), F.col("_q")))
     return x.where(F.col("similarity").between(low, high)).select(key, F.round("similarity", 6).alias("similarity"))
+
+
+def negatives_mixed(log: DataFrame, user: str, item: str, n: int = 5, uniform_share: float = 0.4, seed: int = 42) -> DataFrame:
+    """user_id, item_id, strategy: floor(n * share) uniform draws a user, the rest by popularity."""
+    a = int(n * uniform_share)
+    parts = [f(log, user, item, m, seed=seed).withColumn("strategy", F.lit(name)) for f, m, name in ((negatives_uniform, a, "uniform"), (negatives_popularity, n - a, "popularity")) if m]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
