@@ -42,7 +42,7 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
-ANCHORS = ("licen", "permission", "permitted", "mpl", "mozilla", "redistribut", "granted", "notice")
+ANCHORS = ("licen", "permission", "permitted", "mpl", "mozilla", "redistribut", "granted", "notice", "copies", "software", "source")
 GROUPS = (5, 8, 12, 18, 27, 40, 60, 90)
 K, MISS = 5, 1e-6
 

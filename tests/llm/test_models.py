@@ -116,7 +116,7 @@ def test_pipeline_against_brute_force(spark, sf):
     from tests_llm_helpers import shingles
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    good = {r.doc_id: r.text for r in rules.classify(docs, rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(queries.remainder("doc_id", 3) != 1))).where("predicted = 1").collect()}
+    good = {r.doc_id: r.text for r in rules.classify(docs, rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(queries.remainder("doc_id", 3) != 1))).where(F.col("score") >= corpus_pipeline.REJECT_BELOW).collect()}
     kept = {i for i, _, c in brute(sorted(good.items()), 5) if i == c}
     items = [shingles(r.text, 5) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {i for i in kept if not any(100 * len(shingles(good[i], 5) & t) >= 80 * len(t) for t in items if t)}
