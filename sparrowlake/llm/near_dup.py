@@ -13,9 +13,11 @@ probability 1 - (1 - s^R)^B: for B = 48, R = 6 a pair at 0.8 is missed with
 probability 5e-7. Candidates are confirmed on the full shingle sets.
 
 No bucket emits all its pairs. First every member of a bucket is paired with the
-bucket's smallest member; confirmed links merge a group of near copies at once. Only
-members of one bucket that are still in different classes are then paired with each
-other, so links that do not pass through the smallest member are found as well.
+bucket's smallest member; confirmed links merge a group of near copies at once. Members
+of a bucket that are still in different classes are then held against each other by an
+exact prefix filter over their shingles, rare ones first, so links that do not pass
+through the smallest member are found as well, while documents that have only
+widespread passages in common do not meet.
 Classes come from alternating large-star and small-star steps over tables in the
 shared folder; only row counts and checksums reach the driver.
 
@@ -30,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowlake.llm.common import U64, Memo, drop, mix64, raw, shingles, slices, stage, word_hashes
@@ -39,6 +41,7 @@ EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 BANDS, ROWS = 48, 6
 #: Up to so many ids a list of documents is broadcast (16 MB of longs at most); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+EDGES_PER_FILE = 1_000_000
 
 
 def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -116,34 +119,68 @@ def sets_of(df: DataFrame, doc_id: str, text: str, k: int, ids: DataFrame) -> Da
     return rows.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have den * intersection >= num * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets, _ = stage(sets_of(df, doc_id, text, k, ids), "sets")
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = x.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, n, component, shingle): the rarest shingles of each set, so many that two sets of enough similarity share one of them.
+
+    In one total order (rare first) two sets x, y with den * |x & y| >= num * |x | y| have
+    a shingle in common among the first |x| - ceil(num |x| / den) + 1 of x and the same of y.
+    What many documents share comes late in the order, so sets that have mainly such
+    shingles in common do not meet.
+    """
+    each = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("df", "shingle"))
+    keep = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    return each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= keep).select("doc_id", "n", "component", "shingle", (F.col("n") - F.col("place") + 1).alias("rest"))
+
+
+def crossing(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of documents in different components that can be similar enough (sets: doc_id, component, shingles).
+
+    Components meet at a shingle first, one row a component; only members that hold the
+    shingle in two components that meet there are then paired. Where the first common
+    shingle of two sets stands, the fewer of the shingles from there on bound what they
+    have in common, which has to be num / (num + den) of both sizes' sum.
+    """
+    p, path = stage(prefixes(sets, num, den), "prefixes")
+    at = p.groupBy("shingle", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("n"))
+    side = lambda x: at.select("shingle", F.col("component").alias(f"c{x}"), F.col("rest").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    enough = (num + den) * F.least("ra", "rb") >= num * (F.col("na") + F.col("nb"))
+    met = side("a").join(side("b"), "shingle").where(F.expr("ca < cb") & enough).select("shingle", "ca", "cb")
+    member = lambda x: p.select("shingle", F.col("component").alias(f"c{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}"))
+    size_ok = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    return met.join(member("a"), ["shingle", "ca"]).join(member("b"), ["shingle", "cb"]).where(size_ok & enough).select("a", "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for each node of the edges (a, b), by large-star and small-star steps."""
     spark = edges.sparkSession
     now, path = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    seen = state(now)
     while True:
+        files = 1 + seen[0] // EDGES_PER_FILE  # a step makes as many edges as it reads at most: few edges take few tasks
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        held, large_path = stage(large.distinct(), "large-star")
+        held, large_path = stage(large.distinct().coalesce(files), "large-star")
         # small star: a node and its smaller neighbours are tied to the smallest of them
         least = held.groupBy("a").agg(F.min("b").alias("m"))
         small = held.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        after, next_path = stage(small.where("a <> b").distinct(), "small-star")
-        check = [x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first() for x in (now, after)]
+        after, next_path = stage(small.where("a <> b").distinct().coalesce(files), "small-star")
         drop(spark, path, large_path)
+        before, seen = seen, state(after)
         now, path = after, next_path
-        if check[0] == check[1]:
+        if before == seen:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -155,15 +192,13 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     linked = docs.where("n > 0 AND doc_id IS NOT NULL")
     # copies have equal band keys, so any of them speaks for the group
     groups, _ = stage(linked.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "groups")
-    drop_later = []
     members, members_path = stage(_shared(groups), "buckets")
-    drop_later.append(members_path)
 
-    hub_pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
     size_ok = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    hub_pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
     first, first_path = stage(hub_pairs.where(size_ok).select("a", "b").distinct(), "hub-pairs")
-    links, links_path = stage(confirmed(first, df, doc_id, text, k, num, den), "links")
-    drop_later += [first_path, links_path]
+    sets, sets_path = stage(sets_of(df, doc_id, text, k, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
+    links, links_path = stage(confirmed(first, sets, num, den), "links")
     # rows of one document that differ in their sets tie their groups together
     ids = linked.select("doc_id", "hi", "lo").join(groups.select("hi", "lo", "rep"), ["hi", "lo"])
     split = ids.groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.min("rep").alias("a")).where(F.size("reps") > 1).select("a", F.explode("reps").alias("b"))
@@ -172,19 +207,18 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
 
     # what is left: members of one bucket in different classes, none of them its hub
     named = members.where("rep <> hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo_c"), F.max("component").alias("hi_c")).where("lo_c < hi_c").select("key")
-    open_, open_path = stage(named.join(mixed, "key", "left_semi").select("key", "rep", "n", "component"), "open")
-    x, y = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_ok).select("a", "b").distinct()
-    second, second_path = stage(cross.join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    open_ = named.join(mixed, "key", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
+    rest, rest_path = stage(open_, "open")
+    rest_sets, rest_sets_path = stage(sets_of(df, doc_id, text, k, rest.select("doc_id").distinct()).join(rest, "doc_id"), "open-sets")
+    second, second_path = stage(crossing(rest_sets, num, den).join(first, ["a", "b"], "left_anti"), "cross-pairs")
     if not second.isEmpty():
-        more, more_path = stage(confirmed(second, df, doc_id, text, k, num, den), "more-links")
+        more, _ = stage(confirmed(second, rest_sets, num, den), "more-links")
         labels, _ = stage(components(links.unionByName(more)), "labels")
-        drop_later += [labels_path, more_path]
     named = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     own = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = docs.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    drop(spark, *drop_later, open_path, second_path)
+    drop(spark, members_path, first_path, sets_path, links_path, rest_path, rest_sets_path, second_path)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
