@@ -39,7 +39,7 @@ from sparrowlake.llm.common import add_columns
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts are encoded in blocks of about so many characters, and so many chunks are remembered.
-BLOCK_CHARS, MEMO_CHUNKS = 6_000_000, 400_000
+BLOCK_CHARS, MEMO_CHUNKS = 3_000_000, 250_000
 _SPACE, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 
 
@@ -219,8 +219,8 @@ class ChunkMemo(dict):
 class BlockEncoder:
     """Ids of whole texts, by chunks; ``encode_chunks`` gives the ids of a list of chunks."""
 
-    def __init__(self, encode_chunks, special: dict[str, int], cut_special) -> None:
-        self.encode_chunks, self.special, self.cut_special = encode_chunks, special, cut_special
+    def __init__(self, encode_chunks, special: dict[str, int], cut_special, memo_chunks: int = MEMO_CHUNKS) -> None:
+        self.encode_chunks, self.special, self.cut_special, self.memo_chunks = encode_chunks, special, cut_special, memo_chunks
         self.memo = ChunkMemo(encode_chunks)
 
     def _chunks(self, texts: list[str]) -> list[np.ndarray]:
@@ -255,7 +255,7 @@ class BlockEncoder:
                 out.append(self.memo.gather(numbers[p[0][0]]))
             else:
                 out.append(np.concatenate([x for k, s in p for x in (self.memo.gather(numbers[k]), np.array([self.special[s]] if s else [], np.int32))]))
-        if len(self.memo) > MEMO_CHUNKS:
+        if len(self.memo) > self.memo_chunks:
             self.memo = ChunkMemo(self.encode_chunks)
         return out
 

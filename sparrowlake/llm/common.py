@@ -50,7 +50,7 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
-def slices(batch: pa.RecordBatch, at: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, at: int, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts (or bytes) in column ``at`` add up to about ``most`` bytes, so that memory follows bytes and not rows."""
     kind = batch.column(at).type
     if not (pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind)):

@@ -58,7 +58,7 @@ def library_encoder(path: str) -> bpe.BlockEncoder:
                 counts.append(len(x))
         return np.array(ids, np.int32), np.array(counts, np.int64)
 
-    return bpe.BlockEncoder(encode_chunks, special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None)
+    return bpe.BlockEncoder(encode_chunks, special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None, memo_chunks=500_000)
 
 
 def write(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
