@@ -21,7 +21,7 @@ from sparrowlake.llm.queries import remainder, tokenizer_path
 from sparrowlake.plans.registry import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-REJECT_BELOW = 0.25
+REJECT_BELOW = 0.1
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
