@@ -103,12 +103,17 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     spark = df.sparkSession
     anchor = "|".join(ANCHORS)
     some = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(F.col("t").rlike(f"(?i){anchor}"))
-    held, _ = stage(some.select("doc_id", F.monotonically_increasing_id().alias("row"), _words(F.col("t")).alias("w")), "license-words")
+    listed = some.select("doc_id", F.monotonically_increasing_id().alias("row"), _words(F.col("t")).alias("w"))
+    # the places of the anchors, from 0: only windows around them are cut
+    places = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(anchor), i)), lambda i: i.isNotNull())
+    held, _ = stage(listed.where(F.size("w") >= K).withColumn("places", places).where(F.size("places") > 0), "license-words")
     windows = None
     for up, bands, _ in plan():
-        starts = F.sequence(F.lit(0), F.greatest((F.ceil(F.size("w") / up) - 2).cast("int"), F.lit(0)))
-        w = held.where(F.size("w") >= K).select("doc_id", "row", "w", F.explode(starts).alias("i")).select("doc_id", "row", (F.col("i") * up + 1).alias("start_word"), F.slice("w", F.col("i") * up + 1, F.lit(2 * up)).alias("part"))
-        w = w.where(F.exists("part", lambda x: x.rlike(anchor))).withColumn("window", _shingles(F.col("part")))
+        last = F.greatest(F.ceil(F.size("w") / up) - 2, F.lit(0))
+        near = F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(F.floor(p / up) - 1, F.floor(p / up)))))
+        w = held.select("doc_id", "row", "w", F.explode(F.filter(near, lambda i: (i >= 0) & (i <= last))).alias("i"))
+        w = w.select("doc_id", "row", (F.col("i") * up + 1).cast("int").alias("start_word"), F.slice("w", (F.col("i") * up + 1).cast("int"), F.lit(2 * up)).alias("part"))
+        w = w.withColumn("window", _shingles(F.col("part")))
         w = w.where(F.size("window") > 0).select("doc_id", "row", F.lit(up).alias("grp"), "start_word", "window", F.explode(_bands(F.col("window"), up, bands)).alias("band"))
         windows = w if windows is None else windows.unionByName(w)
     # the templates are stated above: a few hundred bands
