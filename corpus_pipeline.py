@@ -1,7 +1,6 @@
 """The corpus pipeline: documents through five stages, each written and read again.
 
-quality: documents that the rule ensemble scores below REJECT_BELOW go; the bound lies well
-under 0.5, so that a document it is unsure of stays. near_duplicates: one
+quality: documents that the rule ensemble itself rejects (predicted 0) go. near_duplicates: one
 document of each class (5-word shingles, similarity 0.8 or more) stays, the one with the
 smallest id. decontamination: documents that contain a benchmark item go. secrets:
 documents stay, with their secrets replaced. bpe: the token ids of each document.
@@ -21,12 +20,12 @@ from sparrowlake.llm.queries import remainder, tokenizer_path
 from sparrowlake.plans.registry import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-REJECT_BELOW = 0.1
+REJECT_BELOW = rules.ACCEPT_FROM
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learnt = rules.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1))
-    return rules.classify(docs, learnt).where(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
+    return rules.classify(docs, learnt).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

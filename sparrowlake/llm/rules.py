@@ -26,6 +26,7 @@ from sparrowlake.llm.common import without
 SAMPLE_ROWS = 12_000
 STATS = ["log_chars", "log_words", "mean_word", "distinct_words", "digits", "capitals", "symbols", "stops", "commas", "lines", "repeated_lines", "top_line", "wide"]
 BINS, TREES, DEPTH, RATE = 32, 24, 3, 0.3
+ACCEPT_FROM = 0.5
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -176,6 +177,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def classify(df: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
-    """``df`` with ``score`` (probability of label 1) and ``predicted`` (1 if score >= 0.5)."""
+    """``df`` with ``score`` (probability of label 1) and ``predicted`` (1 if score >= ACCEPT_FROM)."""
     scored = with_statistics(without(df, ["score", "predicted"]), text).withColumn("score", score(rules))
-    return scored.drop(*(f"_s_{s}" for s in STATS)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.drop(*(f"_s_{s}" for s in STATS)).withColumn("predicted", (F.col("score") >= ACCEPT_FROM).cast("int"))

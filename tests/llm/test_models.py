@@ -134,3 +134,12 @@ def test_pipeline_stages_with_odd_rows(spark, sf, tmp_path):
         for _, f in corpus_pipeline.STAGES[2:]:
             out = f(spark, out, sf)
             assert out.count() == n
+
+
+def test_quality_stage_follows_the_verdict(spark, tmp_path):
+    """Few labels, most of them 0: every text scores as their share, which is over 0.1. op4 rejects them, and so does the stage."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 7) for i in range(18)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(18)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    learnt = rules.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").where(queries.remainder("doc_id", 3) != 1))
+    assert all(0.1 <= r.score < 0.5 and r.predicted == 0 for r in rules.classify(docs, learnt).collect())
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == 0
