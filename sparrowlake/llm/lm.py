@@ -247,6 +247,7 @@ def opened(model: Model) -> Levels:
     held = _levels(model.folder)
     if not held or len(held[0].m.cuts) != len(model.cuts):
         held[:] = [Levels(model)]
+    held[0].m = model  # the tasks that count pairs opened the levels before the cut contexts' weights were known
     return held[0]
 
 

@@ -143,3 +143,39 @@ def test_quality_stage_follows_the_verdict(spark, tmp_path):
     learnt = rules.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").where(queries.remainder("doc_id", 3) != 1))
     assert all(0.1 <= r.score < 0.5 and r.predicted == 0 for r in rules.classify(docs, learnt).collect())
     assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_scores_after_contexts_cut_between_shards(spark, monkeypatch):
+    """score() in the workers that trained, against counts in dictionaries; the discounts are those of a pair's shard."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 200)
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.3, 60))
+    train = [text() for _ in range(120)]
+    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(4))
+    pairs, uni = Counter(), Counter()
+    for t in train:
+        w = words(t)
+        uni.update(w)
+        pairs.update(zip([b" end", *w[:-1]], w))
+    hashed = {w: int(lm.END) if w == b" end" else lm.xxhash.xxh3_64_intdigest(w) for w in uni}
+    ids = {w: i for i, w in enumerate(sorted(uni, key=hashed.get))}
+    keys = {p: (ids[p[0]] << 32) + ids[p[1]] for p in pairs}
+    shard = {p: int(np.searchsorted(model.cuts, np.uint64(k), "right")) for p, k in keys.items()}
+    d = {s: lm.discounts(np.array([n for p, n in pairs.items() if shard[p] == s])) for s in set(shard.values())}
+    taken = {p: d[shard[p]][min(n, 3)] for p, n in pairs.items()}
+    back = Counter()
+    for p, x in taken.items():
+        back[p[0]] += x / uni[p[0]]
+    parts = Counter(c for c, _ in {(p[0], s) for p, s in shard.items()})
+    assert parts[b"w1"] > 1
+
+    def log10(t):
+        w, out = words(t), 0.0
+        for c, x in zip([b" end", *w[:-1]], w):
+            p = (uni[x] + 1) * model.unseen * (back[c] if c in uni else 1.0)
+            out += math.log10(p + ((pairs[c, x] - taken[c, x]) / uni[c] if (c, x) in pairs else 0.0))
+        return out
+
+    test = ["w1 nothing w1 nothing", "w1 w1 nothing w2 w1", *(text() for _ in range(40))]
+    got = lm.score(spark.createDataFrame(list(enumerate(test)), "doc_id long, text string").repartition(8), model).collect()
+    assert len(got) == len(test) and all(abs(r.score - log10(r.text)) < 0.02 * r.n_tokens for r in got)
