@@ -12,9 +12,15 @@ Only windows with an anchor (a word of ``ANCHORS`` in them) are sketched. That d
 nothing: more than 20 of 100 shingles of every template hold an anchor (verified when
 the templates are prepared), so no window without one can hold 80 of 100.
 
+Notices of fewer than 5 words (``NOTICES``) have no 5-word shingle: their one shingle is
+their whole word sequence, looked up among a window's shingles of that length. Texts
+are chosen by a pattern that the sequence cannot lack, and the windows are those that
+hold a place of the sequence. Where it is part of a template's whole text, as 'MIT
+License' is of 'Released under the MIT License.', it is the template's alone.
+
 Words are runs of a-z and 0-9 after lowering A-Z, so punctuation and line ends do not
-matter. Nulls, empty texts and texts of fewer than 5 words have no shingle and no
-license. Repeated rows are reported each. A very long text makes windows in
+matter. Nulls and empty texts have no license; texts of fewer than 5 words can only hold
+a notice. Repeated rows are reported each. A very long text makes windows in
 proportion to its length. Empty tables give no rows; other columns are ignored.
 """
 
@@ -42,6 +48,12 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
+#: Notices of fewer than K words.
+NOTICES = {
+    "All-rights-reserved": "All rights reserved.",
+    "MIT-notice": "MIT License",
+    "Apache-2.0-notice": "Apache License 2.0",
+}
 ANCHORS = ("licen", "permission", "permitted", "mpl", "mozilla", "redistribut", "granted", "notice", "copies", "software", "source")
 GROUPS = (5, 8, 12, 18, 27, 40, 60, 90)
 K, MISS = 5, 1e-6
@@ -98,6 +110,38 @@ def templates(spark: SparkSession) -> DataFrame:
     return out.select("license", "grp", "template", "band")
 
 
+def notices(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``scan`` for NOTICES, over windows of 2 (K - 1) words that begin every K - 1 words."""
+    up, out = K - 1, None
+    seqs = {n: plain_words(t) for n, t in NOTICES.items()}
+    if any(not 0 < len(q) <= up for q in seqs.values()):
+        raise ValueError("a notice is too short or too long")
+    pattern = "(?i)" + "|".join("[^a-z0-9]+".join(q) for q in seqs.values())
+    some = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(F.col("t").rlike(pattern))
+    held, _ = stage(some.select("doc_id", _words(F.col("t")).alias("w")).where(F.size("w") > 0), "notice-words")
+    last = F.greatest(F.ceil(F.size("w") / up) - 2, F.lit(0))
+
+    def at(i: Column, q: list[str]) -> Column:
+        """Whether the words from place i on (from 0) are q."""
+        return (i >= 0) & (F.slice("w", F.greatest(i + 1, F.lit(1)), F.lit(len(q))) == F.array(*map(F.lit, q)))
+
+    for name, q in seqs.items():
+        full = [(i, t) for t in map(plain_words, TEMPLATES.values()) for i in range(len(t)) if t[i : i + len(q)] == q]
+
+        def own(x: Column, i: Column, q: list[str] = q, full: list = full) -> Column:
+            ok = (x == q[0]) & at(i, q)
+            for before, t in full:
+                ok = ok & ~at(i - before, t)
+            return ok
+
+        places = F.filter(F.transform("w", lambda x, i: F.when(own(x, i), i)), lambda i: i.isNotNull())
+        near = F.flatten(F.transform("places", lambda p: F.filter(F.array(F.floor(p / up) - 1, F.floor(p / up)), lambda i: (i >= 0) & (i <= last) & (p + len(q) <= i * up + 2 * up))))
+        found = held.select("doc_id", "w", places.alias("places")).where(F.size("places") > 0).select("doc_id", F.array_distinct(near).alias("n"))
+        rows = found.select("doc_id", F.lit(name).alias("license"), F.size("n").cast("long").alias("windows"), F.lit(1.0).alias("containment"), (F.array_min("n") * up + 1).cast("int").alias("start_word"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, windows (how many hold it), containment (the most, 0 to 1), start_word (of the first such window), for each row's licenses."""
     spark = df.sparkSession
@@ -120,4 +164,4 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     hits = windows.join(F.broadcast(templates(spark)), ["grp", "band"]).dropDuplicates(["row", "grp", "start_word", "license"])
     common = F.size(F.array_intersect("window", "template"))
     sure = hits.where(100 * common >= 80 * F.size("template")).select("doc_id", "row", "license", "start_word", (common / F.size("template")).alias("share"))
-    return sure.groupBy("row", "doc_id", "license").agg(F.count(F.lit(1)).alias("windows"), F.max("share").alias("containment"), F.min("start_word").cast("int").alias("start_word")).drop("row")
+    return sure.groupBy("row", "doc_id", "license").agg(F.count(F.lit(1)).alias("windows"), F.max("share").alias("containment"), F.min("start_word").cast("int").alias("start_word")).drop("row").unionByName(notices(df, doc_id, text))

@@ -129,3 +129,28 @@ def test_license_edges(spark):
     assert licenses.scan(df.limit(0)).count() == 0
     for t in licenses.TEMPLATES.values():  # a template is found wherever it begins
         assert all(_licenses(f"{fill(n)} {t} {fill(60)}") for n in range(0, 40))
+
+
+def test_op5_finds_short_notices(spark):
+    """Every row of a short notice against a search of its word sequence in the windows of 8 words; and every document that carries the line has its row."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rng = np.random.default_rng(8)
+    fill = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 9999, n))
+    texts = [f"{fill(n)} {t} {fill(m)}" for t in ("(c) Ann. ALL RIGHTS -- reserved!", "MIT License", "Apache License 2.0") for n in range(10) for m in (0, 1, 5, 30)]
+    texts += ["All rights reserved.", "overall rights reserved", "all rights reservedly", "all rights x reserved", "Released under the MIT License.", None, "", fill(20)]
+    texts += ["all rights reserved " * 7]
+    rows = [(r.doc_id, r.text) for r in docs] + [(100_000 + i, t) for i, t in enumerate(texts)] + [(100_000, texts[0])]
+
+    def brute(text):
+        w = licenses.plain_words(text or "")
+        rest = " ".join(w).replace("released under the mit license", "- - - - -").split()
+        for name, q in (("All-rights-reserved", ["all", "rights", "reserved"]), ("MIT-notice", ["mit", "license"]), ("Apache-2.0-notice", ["apache", "license", "2", "0"])):
+            held = [i for i in range(max(-(-len(rest) // 4) - 2, 0) + 1) if any(rest[j : j + len(q)] == q for j in range(4 * i, min(4 * i + 8, len(rest)) - len(q) + 1))]
+            if held:
+                yield name, len(held), 1.0, 4 * held[0] + 1
+
+    want = sorted((i, *x) for i, t in rows for x in brute(t))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("license").isin(*licenses.NOTICES)).collect()
+    assert sorted((r.doc_id, r.license, r.windows, r.containment, r.start_word) for r in got) == want
+    lines = {r.doc_id for r in docs if "All rights reserved." in (r.text or "")}
+    assert lines and lines == {r.doc_id for r in queries.op5(spark, "/root/testdata/sf0.01").collect() if r.license == "All-rights-reserved"}
