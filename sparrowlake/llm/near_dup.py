@@ -133,9 +133,11 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     In one total order (rare first) two sets x, y with den * |x & y| >= num * |x | y| have
     a shingle in common among the first |x| - ceil(num |x| / den) + 1 of x and the same of y.
     What many documents share comes late in the order, so sets that have mainly such
-    shingles in common do not meet.
+    shingles in common do not meet. Repeated rows count once: they would take the places of
+    other shingles.
     """
-    each = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
+    each = sets.select("doc_id", "component", "shingles").distinct()
+    each = each.select("doc_id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("df", "shingle"))
     keep = F.col("n") - F.ceil(F.col("n") * num / den) + 1

@@ -80,3 +80,24 @@ def test_sketch_estimates_similarity():
     assert abs((a == b).mean() - 300 / 500) < 0.02
     one = near_dup.sketch([np.array([7], np.uint64)] * 2, 288)
     assert (one[0] == one[1]).all() and not (one == near_dup.EMPTY).any()
+
+
+def test_repeated_rows_meet_across_classes(spark):
+    """One bucket of a hub and two near copies of each other that are unlike the hub and occur three times each."""
+    memo = near_dup.Memo()
+    sketched = lambda t: near_dup.sketch(near_dup.shingle_sets(near_dup.pa.array([t]), 4, memo), 1)[0, 0]
+    for seed in range(50):
+        rnd = random.Random(seed)
+        word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+        base = [word() for _ in range(100)]
+        changed = lambda places: " ".join(word() if i in places else w for i, w in enumerate(base))
+        hub, a, b = changed({5, 17, 35, 53, 71, 89}), " ".join(base), changed({26, 62})
+        if sketched(hub) == sketched(a) == sketched(b):
+            break
+    else:
+        raise AssertionError("no seed puts the three in one bucket")
+    rows = [(1, hub), *[(2, a)] * 3, *[(3, b)] * 3]
+    want = brute(rows, 4)
+    assert {(i, c) for i, _, c in want} == {(1, 1), (2, 2), (3, 2)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, k=4, bands=1, rows=1) == want
