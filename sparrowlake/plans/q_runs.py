@@ -27,7 +27,7 @@ def dataset_overview(spark, sf_dir):
 
 @query("negatives_mixed")
 def negatives_mixed(spark, sf_dir):
-    return sampling.negatives_mixed(interactions(spark, sf_dir), "user_id", "item_id")
+    return sampling.negatives_mixed(interactions(spark, sf_dir), "user_id", "item_id", per_positive=True)
 
 
 @query("item_regression", f"WITH {_X} SELECT a.i AS item_i, b.i AS item_j, count(*)::BIGINT AS n, round(regr_slope(b.r, a.r), 10) + 0.0::DOUBLE AS slope, round(regr_intercept(b.r, a.r), 10) + 0.0::DOUBLE AS intercept FROM x a JOIN x b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 5 AND var_pop(a.r) > 0")

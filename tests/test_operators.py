@@ -84,6 +84,27 @@ def test_negatives(log):
         assert sorted(got) == sorted(f(log, "user_id", "item_id", n=3, tries=40).collect())
 
 
+def test_negatives_of_users_with_most_items(spark):
+    """Users who hold all but two of 300 items, all of them, or few: each gets its n (for each positive), own items only where it holds all."""
+    rows = [(1, i) for i in range(300) if i not in (7, 250)] + [(2, i) for i in range(300)] + [(3, 5), (3, 5), (3, 9)] + [(u, 7) for u in range(10, 60)]
+    log = spark.createDataFrame(rows, "user_id long, item_id long")
+    held = {u: {i for v, i in rows if v == u} for u in {u for u, _ in rows}}
+    for f in (sampling.negatives_uniform, sampling.negatives_popularity, sampling.negatives_mixed):
+        for per_positive in (False, True):
+            got = {}
+            for r in f(log, "user_id", "item_id", per_positive=per_positive).collect():
+                got.setdefault(r.user_id, []).append(r)
+            assert {u: len(x) for u, x in got.items()} == {u: 5 * (sum(v == u for v, _ in rows) if per_positive else 1) for u in held}
+            assert all(r.item_id not in held[u] for u, x in got.items() if u != 2 for r in x)
+            if f is not sampling.negatives_mixed:
+                assert all(sorted(r.rank for r in x) == list(range(1, len(x) + 1)) for x in got.values())
+            if per_positive:
+                assert {r.item_id for r in got[1]} == {7, 250}
+                few = sum(r.item_id == 250 for r in got[1]) / len(got[1])
+                assert abs(few - 0.5) < 0.1 if f is sampling.negatives_uniform else few < 0.4
+                assert len({r.item_id for r in got[2]}) > 200
+
+
 def test_samples(spark):
     df = spark.createDataFrame([(i, i % 7, None if i % 10 == 0 else f"l{i % 3}") for i in range(1000)], "id long, item long, label string")
     got = sampling.stratified(df, "label", "id", 100).groupBy("label").count().collect()
