@@ -17,7 +17,9 @@ at equal nearness go by the smaller id.
 
 Nulls: vectors that are null, zero, of another length than the sample's, or hold null
 or non-finite components take no part, as query or candidate, nor do rows without an
-id. Repeated rows are candidates each, except the query's own id. With fewer than k
+id. Repeated rows are candidates each, except the query's own id. As queries, repeated
+rows of one id and vector are one; an id with several vectors is a query for each, ranked
+by itself. With fewer than k
 candidates all are returned; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -161,7 +163,7 @@ def fit(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int
 
 
 def search(df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, fitted: tuple[Tree | None, int] | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each row where ``queries`` (a condition on vec_id) holds."""
+    """query_id, rank, vec_id, score: the k nearest rows found for each distinct id and vector where ``queries`` (a condition on vec_id) holds."""
     spark, out = df.sparkSession, "query_id long, rank int, vec_id long, score double"
     tree, dim = fitted or fit(df, vec_id, vector, k)
     if tree is None:
@@ -189,10 +191,11 @@ def search(df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str =
                         some.append(leaf)
                         seen += size[leaf]
                 visited.append(some)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(visited, pa.list_(pa.int32()))], names=["query_id", "q", "visited"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(visited, pa.list_(pa.int32()))], names=["query_id", "q", "vector", "visited"])
 
-    asked = rows.where(queries).withColumnRenamed("vec_id", "query_id").mapInArrow(walk, "query_id long, q array<double>, visited array<int>")
-    visits, _ = stage(asked.select("query_id", "q", F.explode("visited").alias("leaf")), "visits")
+    distinct = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().withColumn("vector", F.xxhash64("q"))
+    asked = distinct.mapInArrow(walk, "query_id long, q array<double>, vector long, visited array<int>")
+    visits, _ = stage(asked.select("query_id", "q", "vector", F.explode("visited").alias("leaf")), "visits")
     load = {r.leaf: r["count"] for r in visits.groupBy("leaf").count().collect()}
     if not load:
         return spark.createDataFrame([], out)
@@ -200,25 +203,25 @@ def search(df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str =
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(F.broadcast(plan), "leaf").withColumn("chunk", part("vec_id", "chunks")).withColumn("block", upto("blocks")).select("leaf", "chunk", "block", "vec_id", "v")
-    right = visits.join(F.broadcast(plan), "leaf").withColumn("block", part("query_id", "blocks")).withColumn("chunk", upto("chunks")).select("leaf", "chunk", "block", "query_id", "q")
+    right = visits.join(F.broadcast(plan), "leaf").withColumn("block", part("query_id", "blocks")).withColumn("chunk", upto("chunks")).select("leaf", "chunk", "block", "query_id", "q", "vector")
 
     def nearest(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         ids, found = vectors["vec_id"].to_numpy(), []
         if not len(ids) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "vector": [], "vec_id": [], "score": []})
         x, qs = matrix(vectors["v"]), matrix(asked["q"])
         norm, q_norm = _norms(x), _norms(qs)
         u = x / norm[:, None]
         rough = (qs / q_norm[:, None]) @ u.T
-        for q, q_n, query, near in zip(qs, q_norm, asked["query_id"].to_numpy(), rough):
+        for q, q_n, query, vector, near in zip(qs, q_norm, asked["query_id"].to_numpy(), asked["vector"].to_numpy(), rough):
             near[ids == query] = -2
             cut = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -2
             at = np.flatnonzero((near >= cut - 1e-9) & (near > -1.5))
             exact = (u[at] * (q / q_n)).sum(1)  # row by row in one order, so equal vectors score equally
             at = at[np.lexsort((ids[at], -exact))[:k]]
-            found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": (u[at] * (q / q_n)).sum(1)}))
+            found.append(pd.DataFrame({"query_id": query, "vector": vector, "vec_id": ids[at], "score": (u[at] * (q / q_n)).sum(1)}))
         return pd.concat(found)
 
-    near = left.groupBy("leaf", "chunk", "block").cogroup(right.groupBy("leaf", "chunk", "block")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = left.groupBy("leaf", "chunk", "block").cogroup(right.groupBy("leaf", "chunk", "block")).applyInPandas(nearest, "query_id long, vector long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -88,6 +88,23 @@ def test_ann_ties_hot_leaf_and_bad_vectors(spark, monkeypatch):
     assert ann.search(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_repeated_query_rows(spark):
+    """A query row that occurs three times has the neighbours of one; an id with two vectors has five for each."""
+    x = np.random.default_rng(9).normal(size=(200, 8))
+    one = [(i, v.tolist()) for i, v in enumerate(x, 1)]
+    query = [(0, x[150].tolist()), (1000, x[40].tolist())]
+    search = lambda rows: sorted(map(tuple, ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 1000)).collect()))
+    ids = np.array([i for i, _ in one + query])
+    every = np.array([v for _, v in one + query])
+    want = {int(q): [v for v, _ in w] for q, w in zip((0, 1000), _exact(every, ids, np.isin(ids, (0, 1000)), 5))}
+    got = search(one + query + query[:1] * 2)
+    assert {q: [v for i, _, v, _ in got if i == q] for q in want} == want
+    other = [(0, x[40].tolist())]
+    got = search(one + query[:1] * 2 + other * 2)
+    assert [r for _, r, _, _ in got] == [r for r in range(1, 6) for _ in range(2)]
+    assert {v for _, r, v, _ in got if r == 1} == {41, 151}
+
+
 def _licenses(text):
     """Brute force: every window of every group against every template."""
     w, out = licenses.plain_words(text or ""), {}
