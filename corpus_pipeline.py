@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return contamination.annotate(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*COLUMNS)
+    return contamination.annotate(docs, table(spark, sf_dir, "benchmark"), short_inside=True).where(F.size("leaks") == 0).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ shuffles a text.
 
 Sets: A-Z in lower case, words between ASCII white space, k-word shingles; a text with
 fewer than k words has its whole sequence as its one shingle, so a short item is found
-only as a whole text. Nulls and texts without words have the empty set: such documents
+only as a whole text, or with ``short_inside`` also among the document's shingles of the
+item's own length. Nulls and texts without words have the empty set: such documents
 hold nothing, such items are in nothing. Repeated items of one id and text count once;
 equal texts under other ids are reported under each. Items without an id are ignored.
 Repeated documents are judged alike, columns named ``leaks`` are replaced, all others
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowlake.llm.common import U64, Memo, add_columns, mix64, stage
+from sparrowlake.llm.common import U64, Memo, add_columns, mix64, raw, shingles, stage, word_hashes
 from sparrowlake.llm.near_dup import shingle_sets
 
 EXPECTED = 20
@@ -54,10 +55,10 @@ def load_of(least_common: float) -> float:
 
 
 class Index:
-    """The items of a block: their shingles by size class, and which items hold each shingle."""
+    """The items of a block: their shingles by size class, and which items hold each shingle; ``short``: by their one shingle, the items of each length under k."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int) -> None:
-        self.ids, self.sets, self.num, self.den = ids, sets, num, den
+    def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int, short: dict[int, dict[int, list[int]]] | None = None) -> None:
+        self.ids, self.sets, self.num, self.den, self.short = ids, sets, num, den, short or {}
         self.classes = []
         size = np.array([len(s) for s in sets], np.int64)
         for c in sorted({int(n).bit_length() for n in size}):
@@ -68,6 +69,15 @@ class Index:
             keys, first = np.unique(flat[order], return_index=True)
             self.classes.append((load_of(num / den * (1 << (c - 1))), keys, np.append(first, len(flat)), of[order]))
 
+    def inside(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item_id, 1, 1) of the short items whose whole sequence is among the word hashes."""
+        found: set[int] = set()
+        for length, held in self.short.items():
+            if len(words) >= length:
+                for s in held.keys() & set(shingles(words, length).tolist()):
+                    found.update(held[s])
+        return [(i, 1, 1) for i in found]
+
     def leaks(self, shingles: np.ndarray) -> list[tuple[int, int, int]]:
         """(item_id, common, size) of the items that the sorted distinct shingles contain."""
         found: set[int] = set()
@@ -96,19 +106,20 @@ class Index:
 
 
 def item_sets(benchmark: DataFrame, item_id: str, text: str, k: int) -> DataFrame:
-    """item_id, n and the distinct shingles of each item that has any."""
+    """item_id, n, the distinct shingles and the words (k at most) of each item that has any."""
 
     def run(batches):
         memo = Memo()
         for b in batches:
             sets = shingle_sets(b.column(1), k, memo)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["item_id", "n", "set"])
+            length = [min(k, len(word_hashes(t, memo))) for t in raw(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(length, pa.int32())], names=["item_id", "n", "set", "words"])
 
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL")
-    return rows.mapInArrow(run, "item_id long, n long, set array<long>").where("n > 0").distinct()
+    return rows.mapInArrow(run, "item_id long, n long, set array<long>, words int").where("n > 0").distinct()
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, num: int = 80, den: int = 100, short_inside: bool = False) -> DataFrame:
     """``docs`` with ``leaks``: the items that each text contains, as structs (item_id, common, shingles) by item_id."""
     spark = docs.sparkSession
     items, _ = stage(item_sets(benchmark, item_id, item_text, k), "items")
@@ -116,12 +127,23 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     blocks = max(1, -(-total // BLOCK_SHINGLES))
     parts = []
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == b).select("item_id", "set").toArrow().combine_chunks()
-        index = spark.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), [np.array(x, np.int64).view(U64) for x in rows["set"].to_pylist()], num, den))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == b).select("item_id", "set", "words").toArrow().combine_chunks()
+        ids, sets, short = rows["item_id"].to_pylist(), [np.array(x, np.int64).view(U64) for x in rows["set"].to_pylist()], {}
+        for i, x, n in zip(ids, sets, rows["words"].to_pylist()):
+            if short_inside and n < k:
+                short.setdefault(n, {}).setdefault(int(x[0]), []).append(i)
+        index = spark.sparkContext.broadcast(Index(ids, sets, num, den, short))
 
         def make(index=index):
             memo = Memo()
-            return lambda texts: [pa.array([[{"item_id": i, "common": c, "shingles": n} for i, c, n in index.value.leaks(s)] for s in shingle_sets(texts, k, memo)], T_LEAK)]
+
+            def found(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+                out = [index.value.leaks(s) for s in shingle_sets(texts, k, memo)]
+                if index.value.short:
+                    out = [sorted({*x, *index.value.inside(word_hashes(t, memo))}) for x, t in zip(out, raw(texts))]
+                return out
+
+            return lambda texts: [pa.array([[{"item_id": i, "common": c, "shingles": n} for i, c, n in x] for x in found(texts)], T_LEAK)]
 
         parts.append(f"_leaks{b}" if blocks > 1 else "leaks")
         docs = add_columns(docs, text, [T.StructField(parts[-1], LEAK)], make)

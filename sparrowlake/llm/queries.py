@@ -92,7 +92,7 @@ def _sql_sets(name: str, source: str, key: str) -> str:
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::INTEGER AS common, any_value(n.n)::INTEGER AS shingles FROM d JOIN b ON d.s = b.s JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n.n)""",
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination.annotate(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = contamination.annotate(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), short_inside=True)
     return found.select("doc_id", F.inline("leaks")).select("doc_id", "item_id", "common", "shingles")
 
 

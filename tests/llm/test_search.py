@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparrowlake.llm import ann, contamination, licenses, queries
 from tests_llm_helpers import shingles
 
@@ -44,6 +45,30 @@ def test_containment_in_long_documents(spark, monkeypatch):
     assert contamination.annotate(d.limit(0), b).count() == 0
 
 
+def test_short_items_inside_long_documents(spark, tmp_path):
+    """op1 and the pipeline's stage find items of 1 to 4 words inside longer documents, and longer items as before."""
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    items = [(n, word(n)) for n in range(1, 8)] + [(10, word(3))]
+    docs = [(100 * size + i, " ".join(word(size) + w + word(size))) for size in (0, 1, 3, 500) for i, w in items]
+    docs += [(90_000, " ".join(word(9) + items[3][1][::-1] + word(9))), (90_001, " ".join(items[3][1][:3])), (90_002, None), (90_003, "")]
+    bench = [(i, " ".join(w).upper()) for i, w in items] + [(11, " ".join(items[7][1])), (12, None)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for i, t in docs:
+        for j, u in bench:
+            k = min(5, len((u or "").split()))
+            held, s = shingles(t, k), shingles(u, 5)
+            if s and 100 * len(held & s) >= 80 * len(s):
+                want.add((i, j, len(held & s), len(s)))
+    assert all((100 * size + i, i) in {w[:2] for w in want} for size in (0, 1, 3, 500) for i, _ in items)
+    got = [tuple(r) for r in queries.op1(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    kept = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {i for i, _ in docs} - {w[0] for w in want}
+
+
 def _exact(x, ids, q, k):
     u = x / np.sqrt((x**2).sum(1))[:, None]
     out = []
