@@ -136,12 +136,12 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     shingles in common do not meet. Repeated rows count once: they would take the places of
     other shingles.
     """
-    each = sets.select("doc_id", "component", "shingles").distinct()
-    each = each.select("doc_id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
+    each = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("df", "shingle"))
+    order = Window.partitionBy("doc_id", "component", "set").orderBy("df", "shingle")
+    place, again = F.dense_rank().over(order), F.lag("shingle").over(order).eqNullSafe(F.col("shingle"))
     keep = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    return each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= keep).select("doc_id", "n", "component", "shingle", (F.col("n") - F.col("place") + 1).alias("rest"))
+    return each.join(often, "shingle").withColumns({"place": place, "again": again}).where((F.col("place") <= keep) & ~F.col("again")).select("doc_id", "n", "component", "shingle", (F.col("n") - F.col("place") + 1).alias("rest"))
 
 
 def crossing(sets: DataFrame, num: int, den: int) -> DataFrame:
