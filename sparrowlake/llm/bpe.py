@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,8 +39,8 @@ from sparrowlake.llm.common import add_columns
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts are encoded in blocks of about so many characters, and so many chunks are remembered.
-BLOCK_CHARS, MEMO_CHUNKS = 3_000_000, 250_000
+#: So many chunks, or characters of them, are remembered in each of two generations.
+MEMO_CHUNKS, MEMO_CHARS = 120_000, 8_000_000
 _SPACE, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 
 
@@ -172,102 +173,109 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, numbers: np.
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[numbers] - (ends - size), size)]
 
 
-class ChunkMemo(dict):
-    """Chunk to its number in the tables ``start`` and ``length`` of the flat ``ids``; a new chunk gets a number at once and its ids in ``fill``."""
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
-    def __init__(self, encode_chunks) -> None:
-        super().__init__()
-        self.encode_chunks, self.new = encode_chunks, []
+
+class ChunkMemo:
+    """Chunk to its number in the tables ``start`` and ``length`` of the flat ``ids``; ``old`` is the memory before this one."""
+
+    def __init__(self, encode_chunks, old: "ChunkMemo | None" = None) -> None:
+        self.encode_chunks, self.old, self.number = encode_chunks, old, {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.odd = np.zeros(1 << 16, bool)
-        self.used = 0
-
-    def __missing__(self, chunk: str) -> int:
-        i = self[chunk] = len(self)
-        self.new.append(chunk)
-        return i
-
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
-
-    def mark(self) -> None:
-        """Note which of the new chunks can't be taken as they are: empty ones and those that begin or end with white space."""
-        n = len(self)
-        self.odd = self._room(self.odd, n)
-        for i, c in enumerate(self.new, n - len(self.new)):
-            body = c[1:] if c[:1] == " " else c
-            self.odd[i] = c != "\n" and (not body or body[0].isspace() or body[-1].isspace())
-
-    def fill(self) -> None:
-        if not self.new:
-            return
-        n, first = len(self), len(self) - len(self.new)
-        self.start, self.length = self._room(self.start, n), self._room(self.length, n)
-        ids, counts = self.encode_chunks(self.new)
-        self.flat = self._room(self.flat, self.used + len(ids))
+        self.used = self.chars = 0
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def _put(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.number)
+        first = n - len(counts)
+        self.flat, self.start, self.length, self.odd = _room(self.flat, self.used + len(ids)), *(_room(x, n) for x in (self.start, self.length, self.odd))
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[first:n], self.start[first:n] = counts, self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        self.new = []
+
+    def _name(self, chunks: list[str]) -> None:
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
+        self.chars += sum(map(len, chunks))
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk; chunks that are new come from the old memory, or are encoded."""
+        found = list(map(self.number.get, chunks))
+        new = list(dict.fromkeys([c for c, i in zip(chunks, found) if i is None]))
+        if not new:
+            return np.array(found, np.int64)
+        if self.old is not None:
+            before = self.old.number
+            known, new = [c for c in new if c in before], [c for c in new if c not in before]
+            at = np.fromiter(map(before.__getitem__, known), np.int64, len(known))
+            self._name(known)
+            self._put(self.old.gather(at), self.old.length[at])
+            self.odd[len(self) - len(at) : len(self)] = self.old.odd[at]
+        if new:
+            self._name(new)
+            self._put(*self.encode_chunks(new))
+            # empty ones, and those that begin (after a space) or end with white space, can't be taken as they are
+            self.odd[len(self) - len(new) : len(self)] = [c != "\n" and len(c.strip() or "  ") != len(c) - (c[:1] == " ") for c in new]
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         return gather(self.flat, self.start, self.length, numbers)
 
 
 class BlockEncoder:
-    """Ids of whole texts, by chunks; ``encode_chunks`` gives the ids of a list of chunks."""
+    """Ids of whole texts, by chunks; ``encode_chunks`` gives the ids of a list of chunks.
+
+    The chunks used last are remembered in two generations of ``memo_chunks`` chunks (or
+    ``MEMO_CHARS`` characters): a full one becomes the old one, and what is used again
+    moves from there to the new one, so the commonest chunks are not encoded again.
+    """
 
     def __init__(self, encode_chunks, special: dict[str, int], cut_special, memo_chunks: int = MEMO_CHUNKS) -> None:
-        self.encode_chunks, self.special, self.cut_special, self.memo_chunks = encode_chunks, special, cut_special, memo_chunks
+        self.special, self.cut_special, self.memo_chunks = special, cut_special, memo_chunks
         self.memo = ChunkMemo(encode_chunks)
 
-    def _chunks(self, texts: list[str]) -> list[np.ndarray]:
-        """The chunk numbers of each text, taking every space and line end as a cut; texts where one has white space beside it are cut again with care."""
-        get, out = self.memo.__getitem__, []
-        for t in texts:
-            found = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t else cut(t)
-            out.append(np.fromiter(map(get, found), np.int64, len(found)) if t else np.zeros(0, np.int64))
-        self.memo.mark()
-        for i, t in enumerate(texts):
-            if len(out[i]) and self.memo.odd[out[i]].any():
-                found = cut(t)
-                out[i] = np.fromiter(map(get, found), np.int64, len(found))
-        return out
+    def _careful(self, text: str) -> np.ndarray:
+        """The ids of a text that may hold special tokens, NUL, or more white space than single spaces and line ends."""
+        out = []
+        for i, piece in enumerate(self.cut_special.split(text) if self.cut_special else [text]):
+            if i % 2:
+                out.append(np.array([self.special[piece]], np.int32))
+            elif piece:
+                out.append(self.memo.gather(self.memo.numbers(cut(piece))))
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        t = pc.fill_null(texts.cast(pa.large_string()), "")
+        care = np.zeros(len(t), bool)
+        for s in ("\0", *self.special):
+            care |= pc.match_substring(t, s).to_numpy(zero_copy_only=False)
+        # every space and line end is taken as a cut first; texts where one has white space beside it are cut again with care
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(t, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        found = lists.flatten().dictionary_encode()
+        numbers = self.memo.numbers(found.dictionary.to_numpy(zero_copy_only=False).tolist())[found.indices.to_numpy()]
+        care |= np.logical_or.reduceat(self.memo.odd[numbers], ends[:-1])
+        upto = np.concatenate([[0], np.cumsum(self.memo.length[numbers])])
+        ids, counts = self.memo.gather(numbers), upto[ends[1:]] - upto[ends[:-1]]
+        if care.any():
+            parts = [self._careful(t[i].as_py()) if care[i] else ids[upto[ends[i]] : upto[ends[i + 1]]] for i in range(len(t))]
+            ids, counts = np.concatenate(parts), np.array([*map(len, parts)], np.int64)
+        if len(self.memo) > self.memo_chunks or self.memo.chars > MEMO_CHARS:
+            self.memo.old = None
+            self.memo = ChunkMemo(self.memo.encode_chunks, self.memo)
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts: list[str] = []
-        plan = []
-        for t in texts:
-            if self.cut_special is not None and any(s in t for s in self.special):
-                pieces = self.cut_special.split(t)
-                plan.append([(len(parts) + k // 2, pieces[k + 1] if k + 1 < len(pieces) else None) for k in range(0, len(pieces), 2)])
-                parts += pieces[::2]
-            else:
-                plan.append([(len(parts), None)])
-                parts.append(t)
-        numbers = self._chunks(parts)
-        self.memo.fill()
-        out = []
-        for p in plan:
-            if len(p) == 1:
-                out.append(self.memo.gather(numbers[p[0][0]]))
-            else:
-                out.append(np.concatenate([x for k, s in p for x in (self.memo.gather(numbers[k]), np.array([self.special[s]] if s else [], np.int32))]))
-        if len(self.memo) > self.memo_chunks:
-            self.memo = ChunkMemo(self.encode_chunks)
-        return out
-
-    def encode_blocks(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, block, size = [], [], 0
-        for t in texts:
-            block.append(t or "")
-            size += len(t or "")
-            if size >= BLOCK_CHARS:
-                out += self.encode(block)
-                block, size = [], 0
-        return out + self.encode(block)
+        ids, counts = self.encode_block(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def _index_chunks(model: Model):
@@ -297,9 +305,16 @@ def block_encoder(path: str) -> BlockEncoder:
     return BlockEncoder(_index_chunks(m), m.special, m.cut_special)
 
 
-def id_lists(ids: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+def ends_of(counts: np.ndarray) -> np.ndarray:
+    """Where each of the lists that lie one after the other begins, and the last one ends; 32 bits, as Arrow's lists have."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("one slice of texts makes more ids than an Arrow array holds")
+    return ends.astype(np.int32)
+
+
+def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends_of(counts)), pa.array(ids, pa.int32()))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -307,14 +322,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     def make():
         enc = block_encoder(path)
-        return lambda texts: [id_lists(enc.encode_blocks(texts.to_pylist()))]
+        return lambda texts: [id_lists(*enc.encode_block(texts))]
 
     return add_columns(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
-def packed(ids: list[np.ndarray]) -> pa.Array:
+def packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Each list of ids as little-endian unsigned 32-bit integers."""
-    return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends_of(4 * counts)), pa.py_buffer(ids.astype("<u4"))])
 
 
 def _decoder(path: str):
@@ -346,7 +361,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
         enc, of = block_encoder(path), _decoder(path)
 
         def both(texts: pa.Array) -> list[pa.Array]:
-            held = packed(enc.encode_blocks(texts.to_pylist()))
+            held = packed(*enc.encode_block(texts))
             return [held, pa.array([of(np.frombuffer(x.as_py(), "<u4").tolist()) for x in held], pa.string())]
 
         return both

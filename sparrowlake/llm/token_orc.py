@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from sparrowlake.llm import bpe
 from sparrowlake.llm.common import new_path, slices
 
+#: Punctuation that is a pre-token of its own after a letter and before a space.
+ENDS = ".,;:!?"
 IDS = T.ArrayType(T.IntegerType())
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
@@ -49,34 +51,52 @@ def library_encoder(path: str) -> bpe.BlockEncoder:
     t.no_padding()
     special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
 
-    def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for i in range(0, len(chunks), 50_000):
-            for e in t.encode_batch_fast(chunks[i : i + 50_000], add_special_tokens=False):
-                x = e.ids
-                ids += x
-                counts.append(len(x))
-        return np.array(ids, np.int32), np.array(counts, np.int64)
-
-    return bpe.BlockEncoder(encode_chunks, special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None, memo_chunks=500_000)
+    plain, tokenize, of_end = dict(enumerate(bpe.byte_symbols())), t.model.tokenize, {c: t.token_to_id(c) for c in ENDS}
 
-
-def write(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
-    """Encode every text, append ``end_id``, and write the ids in ascending order of ``doc_id``."""
+    def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        ends = np.zeros(len(chunks) + 1, np.int64)  # where each chunk's ids end, those of ``whole`` chunks apart
+        whole = []
+        for i, c in enumerate(chunks, 1):
+            body, end = (c[1:] if c[:1] == " " else c), None
+            if body[-1:] in ENDS and len(body) > 1:
+                body, c, end = body[:-1], c[:-1], body[-1]
+            if body.isalpha() and (c.isascii() or max(body) < "\u0250"):  # one pre-token of letters, and one of punctuation: straight to the library's model
+                ids += [x.id for x in tokenize((c if len(c) == len(body) else "\u0120" + body) if c.isascii() else c.encode().decode("latin-1").translate(plain))]
+                if end:
+                    ids.append(of_end[end])
+            else:
+                whole.append(i - 1)
+            ends[i] = len(ids)
+        if not whole:
+            return np.array(ids, np.int32), np.diff(ends)
+        start, counts = ends[:-1].copy(), np.diff(ends)
+        for i in range(0, len(whole), 50_000):
+            for j, e in zip(whole[i : i + 50_000], t.encode_batch_fast([chunks[j] for j in whole[i : i + 50_000]], add_special_tokens=False)):
+                found = e.ids
+                start[j], counts[j] = len(ids), len(found)
+                ids += found
+        return bpe.gather(np.array(ids, np.int32), start, counts, np.arange(len(chunks))), counts
+
+    return bpe.BlockEncoder(encode_chunks, special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None, memo_chunks=250_000)
+
+
+def write(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, **options: str) -> None:
+    """Encode every text, append ``end_id``, and write the ids in ascending order of ``doc_id``; ``options`` go before OPTIONS."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         enc, part, before = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in (x for batch in batches for x in slices(batch, 1)):
-            ids = [np.append(x, np.int32(end_id)) for x in enc.encode_blocks(b.column(1).to_pylist())]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, sizes = enc.encode_block(b.column(1))
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             offsets = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(offsets), bpe.id_lists(ids)], names=["doc_id", "part", "offset", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(offsets), bpe.id_lists(ids, sizes)], names=["doc_id", "part", "offset", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("ids", IDS)])
-    ordered.mapInArrow(run, schema).write.options(**OPTIONS).orc(path)
+    ordered.mapInArrow(run, schema).write.options(**OPTIONS | options).orc(path)
 
 
 def read(spark: SparkSession, path: str, id_type: T.DataType = T.LongType()) -> DataFrame:

@@ -28,12 +28,26 @@ def test_ids_equal_the_library(library):
     random.seed(1)
     texts = ODD + ["".join(random.choice("ab 's\n\té한1½., \x1c") for _ in range(random.randint(0, 60))) for _ in range(400)]
     enc, lib = bpe.block_encoder(queries.tokenizer_path()), token_orc.library_encoder(queries.tokenizer_path())
-    for t, a, b in zip(texts, enc.encode_blocks(texts), lib.encode_blocks(texts)):
+    for t, a, b in zip(texts, enc.encode(texts), lib.encode(texts)):
         want = library.encode(t, add_special_tokens=False).ids
         assert a.tolist() == want == b.tolist()
         assert bpe.load(queries.tokenizer_path()).decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_two_generations_of_chunks(library):
+    """Chunks that move between the generations, or are encoded again, keep their ids."""
+    random.seed(2)
+    held = bpe.block_encoder(queries.tokenizer_path()).memo.encode_chunks, token_orc.library_encoder(queries.tokenizer_path()).memo.encode_chunks
+    words = ["".join(random.choice("abcéœ") for _ in range(random.randint(1, 6))) + random.choice(["", ".", ",", "?!", "'s", "…"]) for _ in range(300)] + ["ɐʘ", "1.", ".", "é.", "Ā,"]
+    for encode_chunks in held:
+        enc = bpe.BlockEncoder(encode_chunks, {}, None, memo_chunks=40)
+        for _ in range(60):
+            texts = [" ".join(random.choices(words, k=random.randint(0, 30))) for _ in range(3)]
+            for t, x in zip(texts, enc.encode(texts)):
+                assert x.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert enc.memo.old is not None and len(enc.memo) + len(enc.memo.old) < 200
+
+
 def test_op3_over_documents(spark, sf, library):
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas().itertuples(index=False))
     got = queries.op3(spark, sf).toPandas()
@@ -70,6 +84,30 @@ def test_orc_edges(spark):
     assert token_orc.round_trip(df.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_orc_stripes_index_and_bloom_filter(spark, tmp_path):
+    """The footer names several stripes, each with a row index and a Bloom filter on doc_id; a point read skips stripes and rows."""
+    path = str(tmp_path / "ids")
+    rows = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.md5(F.col("id").cast("string")), F.lit(" ")), 6).alias("text")).coalesce(1)
+    token_orc.write(rows, path, queries.tokenizer_path(), **{"orc.stripe.size": str(256 << 10)})
+    jvm, found = spark._jvm, []
+    for f in sorted(tmp_path.glob("ids/*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        records = reader.rows()
+        for stripe in reader.getStripes():
+            streams = [(s.getColumn(), s.getKind().toString()) for s in records.readStripeFooter(stripe).getStreamsList()]
+            found.append({(c, k) for c, k in streams if k in ("ROW_INDEX", "BLOOM_FILTER_UTF8")})
+    assert len(found) > len(list(tmp_path.glob("ids/*.orc"))) and all({(1, "ROW_INDEX"), (1, "BLOOM_FILTER_UTF8"), (4, "ROW_INDEX")} <= x and (2, "BLOOM_FILTER_UTF8") not in x for x in found)
+
+    def scanned(condition):
+        plan = spark.read.orc(path).where(condition)._jdf.queryExecution().executedPlan()
+        n = len(plan.executeCollect())
+        return n, plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert scanned("doc_id >= 0") == (20_000, 20_000)
+    assert scanned("doc_id = 12346")[0] == 1 and scanned("doc_id = 12346")[1] <= 1000  # one row group
+    assert scanned("doc_id = 12345") == (0, 0)  # inside the range, but not in the Bloom filter
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     f = sharding.Feistel(n, 42)
