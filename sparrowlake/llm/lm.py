@@ -5,7 +5,7 @@ the first bits; a word's id is its place. Each has its count's code. Level 2, th
 successors: for each context word the ids of the words that follow it, made monotone
 by adding the last value of the context before (values are context-relative), with
 monotone pointers to each context's range and an 8-bit code of the smoothed
-probability; each context has an 8-bit code of its back-off weight. A bigram is found by
+probability; each context has a 16-bit code of its back-off weight. A bigram is found by
 looking its context up, taking the context's range from the pointers, and seeking the
 successor of the relative value in that range.
 
@@ -14,27 +14,33 @@ counts of 1, 2 and more, g(c) the mass that they free, and p(w) = (n(w) + 1) / (
 which leaves 1 / (N + V + 1) to a word not seen. An unseen context backs off in full.
 Without quantisation the probabilities after a context add up to 1.
 
+There is one model for a corpus: the discounts come from the counts of all pairs, and
+the codes of all shards stand on one grid, even in the logarithm, from the least
+probability that a pair can have to 1. So a token's log10 probability is off by
+``Model.bound`` at most, and neither the number of partitions nor the worker that runs a
+task plays a part. The number of shards follows the bytes of the texts.
+
 Building: tasks count words, and then pairs of ids, in numpy over bounded blocks, and
 send each shard one packed row of sorted keys (differences, byte by byte) and counts,
 so what is shuffled is a few bytes a distinct pair. Shards of pairs hold about
 ``SHARD_TOKENS`` tokens each: contexts are dealt in id order, and a context that is too
 frequent for one shard is cut by the ids of its successors. Only the shards' sizes and
-cuts reach the driver. Level files lie in the shared folder and are memory-mapped by
-the tasks that score; a file is put in place in one step, so tasks can run again. The
-folder has to be mounted by driver and executors (``file:``).
+cuts reach the driver, and the weights of the contexts that are cut. Level files lie in
+the shared folder and are memory-mapped by the tasks that score; a file is put in place
+in one step, so tasks can run again. A folder that is not mounted (HDFS, an object store)
+is reached through Arrow's file systems, and a task maps a copy in its node's own folder.
 
 Nulls: a null text is empty: its only token is the end. Rows without an id are scored,
-and trained on if the caller passes them. Repeated rows count each time. Columns named
+and trained on if the caller passes them. Repeated rows count each time. A very long text
+is one slice of its own, counted in blocks of keys. Columns named
 as an output are replaced, others carried along; without training rows every token is
 unseen (N = V = 0) and scores log10(1). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -45,12 +51,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowlake.llm import succinct
-from sparrowlake.llm.common import U64, Memo, add_columns, new_path, raw, slices, word_hashes
+from sparrowlake.llm.common import U64, Memo, add_columns, drop, new_path, raw, slices, word_hashes
 from sparrowlake.llm.succinct import EliasFano
 
 #: The end of a text as a word; a word has no space.
 END = U64(xxhash.xxh3_64_intdigest(b" end"))
-BLOCK_KEYS, SHARD_TOKENS = 2_500_000, 3_000_000
+BLOCK_KEYS, SHARD_TOKENS, SHARD_BYTES = 2_500_000, 3_000_000, 16 << 20
+#: Words are dealt to 2^6 shards at least and 2^17 at most.
+LEAST_BITS, MOST_BITS = 6, 17
 PACKED = "shard int, n int, first long, keys binary, counts binary"
 
 
@@ -124,13 +132,6 @@ def _counted(docs: DataFrame, cuts: np.ndarray, keys_of) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-def local(path: str) -> str:
-    u = urlparse(path)
-    if u.scheme not in ("", "file"):
-        raise ValueError(f"the model's folder has to be mounted, so that its levels can be mapped: {path}")
-    return u.path
-
-
 @dataclass
 class Model:
     """Where the levels are, and the shards' sizes and cuts."""
@@ -141,7 +142,15 @@ class Model:
     tokens: int
     words: int
     cuts: np.ndarray  # first key (context id << 32 | word id) of each shard of pairs
-    split: dict[int, float]  # back-off weight of the first and last context of each shard of pairs, added up over the shards that hold a part
+    held: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # whether a pair fell between a shard's cuts
+    least: float = 0.0  # the logarithm of the least probability that a pair can have
+    taken: np.ndarray = field(default_factory=lambda: np.zeros(4))  # the discounts
+    split: dict[int, float] = field(default_factory=dict)  # back-off weight of each context that is cut, added up over the shards that hold a part
+
+    @property
+    def bound(self) -> float:
+        """What quantisation may change a token's log10 probability by."""
+        return -self.least / 255 / 2 / np.log(10)
 
     @property
     def unseen(self) -> float:
@@ -158,17 +167,17 @@ class Levels:
 
     def _vocab(self, s: int):
         if s not in self.vocab:
-            a = succinct.load(f"{self.m.folder}/words/{s}")
+            a = succinct.load(self.m.folder, f"words/{s}")
             self.vocab[s] = (EliasFano.of(a, "hash"), a["count"], a["book"])
         return self.vocab[s]
 
     def _pairs(self, s: int):
         """A shard of pairs; None if no pair fell between its cuts."""
-        if s not in self.pairs and not os.path.exists(f"{self.m.folder}/pairs/{s}"):
+        if s not in self.pairs and not self.m.held[s]:
             self.pairs[s] = None
         if s not in self.pairs:
-            a = succinct.load(f"{self.m.folder}/pairs/{s}")
-            self.pairs[s] = (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), EliasFano.of(a, "value"), a["code"], a["book"], a["back"], a["back_book"])
+            a, b = succinct.load(self.m.folder, f"pairs/{s}"), succinct.load(self.m.folder, f"codes/{s}")
+            self.pairs[s] = (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), EliasFano.of(a, "value"), b["code"], grid(self.m.least, 256), b["back"], grid(self.m.least, 65536))
         return self.pairs[s]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,28 +252,38 @@ def _levels(folder: str) -> list:
 
 
 def opened(model: Model) -> Levels:
-    """The levels of a model, kept open between the tasks of a worker process."""
+    """The levels of a model, kept open between the tasks of a worker process; the model itself is always the caller's."""
     held = _levels(model.folder)
-    if not held or len(held[0].m.cuts) != len(model.cuts):
-        held[:] = [Levels(model)]
-    held[0].m = model  # the tasks that count pairs opened the levels before the cut contexts' weights were known
+    if not held:
+        held.append(Levels(model))
+    held[0].m = model
     return held[0]
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def discounts(n: list[int]) -> np.ndarray:
     """What is taken from counts of 0, 1, 2, and 3 or more: modified Kneser-Ney, from how many pairs have counts 1 to 4."""
-    n = [max(1, int((counts == c).sum())) for c in (1, 2, 3, 4)]
+    n = [max(1, x) for x in n]
     y = n[0] / (n[0] + 2 * n[1])
     return np.array([0.0, *(min(max(c - (c + 1) * y * n[c] / n[c - 1], 0.05), c - 0.05) for c in (1, 2, 3))])
 
 
+def grid(least: float, codes: int) -> np.ndarray:
+    """The values that codes stand for: even in the logarithm, from exp(least) to 1."""
+    return np.exp(np.linspace(least, 0.0, codes))
+
+
+def coded(log: np.ndarray, least: float, codes: int) -> np.ndarray:
+    """The nearest code of each logarithm."""
+    return np.rint((1 - log / least) * (codes - 1)).clip(0, codes - 1).astype(np.uint8 if codes == 256 else np.uint16)
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Build the levels over all texts of ``docs`` in the shared folder."""
     spark = docs.sparkSession
-    texts, folder = docs.select(F.col(text).alias("text")), local(new_path(spark, "lm"))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(0, (shards - 1).bit_length())
-    cuts = np.arange(1 << bits, dtype=U64) << U64(64 - bits) if bits else np.zeros(1, U64)
+    texts, folder = docs.select(F.col(text).alias("text")), new_path(spark, "lm")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((size // SHARD_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+    cuts = np.arange(1 << bits, dtype=U64) << U64(64 - bits)
 
     def hashes():
         memo = Memo()
@@ -273,17 +292,17 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     def words(rows: pd.DataFrame) -> pd.DataFrame:
         s = int(rows["shard"].iloc[0])
         keys, counts = unpacked(rows)
-        rest = keys & U64((1 << (64 - bits)) - 1) if bits else keys
+        rest = keys & U64((1 << (64 - bits)) - 1)
         book, code = np.unique(counts, return_inverse=True)
-        succinct.save(f"{folder}/words/{s}", **succinct.named("hash", EliasFano.build(rest)), count=code.astype(np.uint16 if len(book) < 65536 else np.uint32), book=book)
+        succinct.save(folder, f"words/{s}", **succinct.named("hash", EliasFano.build(rest)), count=code.astype(np.uint16 if len(book) < 65536 else np.uint32), book=book)
         total = np.cumsum(counts)
         targets = np.arange(SHARD_TOKENS, int(total[-1]), SHARD_TOKENS)
         at = np.searchsorted(total, targets, "right")
         share = (targets - (total[at] - counts[at])) / counts[at]
         share[counts[at] * 4 < SHARD_TOKENS] = 0  # only a very frequent word is cut
-        return pd.DataFrame({"shard": [s], "size": [len(keys)], "tokens": [int(total[-1])], "at": [at], "share": [share]})
+        return pd.DataFrame({"shard": [s], "size": [len(keys)], "tokens": [int(total[-1])], "most": [int(counts.max())], "at": [at], "share": [share]})
 
-    found = _counted(texts, cuts, hashes).groupBy("shard").applyInPandas(words, "shard int, size long, tokens long, at array<long>, share array<double>").collect()  # one row a shard
+    found = _counted(texts, cuts, hashes).groupBy("shard").applyInPandas(words, "shard int, size long, tokens long, most long, at array<long>, share array<double>").collect()  # one row a shard
     size = np.zeros((1 << bits) + 1, np.int64)
     for r in found:
         size[r.shard + 1] = r["size"]
@@ -294,7 +313,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     pair_cuts = {0}
     for r in found:
         pair_cuts |= {int(first[r.shard]) << 32} | {(int(first[r.shard] + i) << 32) + int(x * vocab) for i, x in zip(r.at, r.share)}
-    model = Model(folder, bits, first, total, vocab, np.array(sorted(pair_cuts), U64), {})
+    model = Model(folder, bits, first, total, vocab, np.array(sorted(pair_cuts), U64))
+    if not vocab:
+        return model
 
     def pairs():
         memo, levels = Memo(), opened(model)
@@ -315,26 +336,39 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         word, pointer = keys & U64(0xFFFFFFFF), np.append(begin, len(keys))
         last = word[pointer[1:] - 1] + U64(1)
         base = np.cumsum(last, dtype=U64) - last
-        n_context = opened(model).counts(contexts.astype(np.int64))
-        d = discounts(counts)
-        taken = d[np.minimum(counts, 3)]
-        each = np.diff(pointer)
-        code, book = succinct.quantise(np.log((counts - taken) / np.repeat(n_context, each)))
-        back = np.add.reduceat(taken, begin) / n_context
-        back_code, back_book = succinct.quantise(np.log(back))
         succinct.save(
-            f"{folder}/pairs/{s}", **succinct.named("context", EliasFano.build(contexts)), **succinct.named("pointer", EliasFano.build(pointer)),
-            **succinct.named("value", EliasFano.build(word + np.repeat(base, each))), code=code, book=np.exp(book), back=back_code, back_book=np.exp(back_book),
+            folder, f"pairs/{s}", **succinct.named("context", EliasFano.build(contexts)), **succinct.named("pointer", EliasFano.build(pointer)),
+            **succinct.named("value", EliasFano.build(word + np.repeat(base, np.diff(pointer)))),
         )
-        edge = sorted({0, len(contexts) - 1})
-        return pd.DataFrame({"shard": s, "context": contexts[edge].astype(np.int64), "back": back[edge]})
-
-    if vocab:
-        edges = _counted(texts, model.cuts, pairs).groupBy("shard").applyInPandas(level, "shard int, context long, back double").collect()  # two rows a shard at most
-        weight: dict[int, list[float]] = {}
-        for r in edges:
-            weight.setdefault(r.context, []).append(r.back)
-        model.split = {c: sum(g) for c, g in weight.items()}
+        succinct.save(folder, f"counts/{s}", context=contexts, pointer=pointer, count=counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64))
+        return pd.DataFrame({"shard": [s], "n": [[int((counts == c).sum()) for c in (1, 2, 3, 4)]]})
+
+    made = _counted(texts, model.cuts, pairs).groupBy("shard").applyInPandas(level, "shard int, n array<long>").collect()  # five numbers a shard
+    shards = sorted(r.shard for r in made)
+    model.held = np.isin(np.arange(len(model.cuts)), shards)
+    model.taken = discounts([sum(r.n[i] for r in made) for i in range(4)])
+    # the least that can be left of a count, or be freed of a context, over the most frequent word
+    model.least = float(np.log(min(*(c - model.taken[c] for c in (1, 2, 3)), *model.taken[1:]) / max(r.most for r in found)) - 1e-9)
+    inner = {int(c) >> 32 for c in model.cuts if int(c) & 0xFFFFFFFF}
+
+    def codes(batches):
+        levels = opened(model)
+        for s in (int(s) for b in batches for s in b["shard"]):
+            a = succinct.load(folder, f"counts/{s}")
+            contexts, pointer, counts = a["context"], a["pointer"], a["count"].astype(np.int64)
+            n = levels.counts(contexts.astype(np.int64))
+            taken = model.taken[np.minimum(counts, 3)]
+            back = np.add.reduceat(taken, pointer[:-1]) / n
+            succinct.save(folder, f"codes/{s}", code=coded(np.log((counts - taken) / np.repeat(n, np.diff(pointer))), model.least, 256), back=coded(np.log(back), model.least, 65536))
+            edge = [i for i in sorted({0, len(contexts) - 1}) if int(contexts[i]) in inner]
+            yield pd.DataFrame({"shard": s, "context": contexts[edge].astype(np.int64), "back": back[edge]})
+
+    rows = spark.createDataFrame([(s,) for s in shards], "shard int").repartition(min(len(shards), 4 * spark.sparkContext.defaultParallelism), "shard")
+    weight: dict[int, list[tuple[int, float]]] = {}
+    for r in rows.mapInPandas(codes, "shard int, context long, back double").collect():  # two rows a cut
+        weight.setdefault(r.context, []).append((r.shard, r.back))
+    model.split = {c: sum(g for _, g in sorted(x)) for c, x in sorted(weight.items())}
+    drop(spark, f"{folder}/counts")
     return model
 
 

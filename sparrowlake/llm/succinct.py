@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import shutil
+import tempfile
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
+from pyarrow.fs import FileSystem, FileType
 
 from sparrowlake.llm.common import U64
 
@@ -99,27 +104,56 @@ class EliasFano:
         return np.where(ok & (self._low(at) == want), at, -1)
 
 
-def save(path: str, **arrays: np.ndarray) -> None:
-    """Write arrays into one file, each at a multiple of 64 bytes, and put it in place in one step, so that a task run again does no harm."""
+def _mounted(folder: str) -> str | None:
+    """The path of a folder that can be opened like any file, else None."""
+    u = urlparse(folder)
+    return u.path if u.scheme in ("", "file") else None
+
+
+def save(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Write arrays into one file of the folder, each at a multiple of 64 bytes, and put it in place in one step, so that a task run again does no harm."""
     head, at = {}, 0
     for k, v in arrays.items():
         head[k] = [str(v.dtype), len(v), at]
         at += -(-v.nbytes // 64) * 64
     text = json.dumps(head).encode()
     text += b" " * (-(len(text) + 8) % 64)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
+    part = f"{name}.{uuid.uuid4().hex}"
+
+    def write(f) -> None:
         f.write(len(text).to_bytes(8, "little") + text)
         for v in arrays.values():
             f.write(np.ascontiguousarray(v).tobytes())
             f.write(b"\0" * (-v.nbytes % 64))
-    os.replace(part, path)
 
-
-def load(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped and not read."""
-    data = np.memmap(path, np.uint8, "r")
+    if root := _mounted(folder):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{part}", "wb") as f:
+            write(f)
+        os.replace(f"{root}/{part}", f"{root}/{name}")
+        return
+    fs, root = FileSystem.from_uri(folder)
+    fs.create_dir(f"{root}/{os.path.dirname(name)}", recursive=True)
+    with fs.open_output_stream(f"{root}/{part}") as f:
+        write(f)
+    if fs.get_file_info(f"{root}/{name}").type == FileType.File:  # a task that ran before has put the same there
+        fs.delete_file(f"{root}/{part}")
+    else:
+        fs.move(f"{root}/{part}", f"{root}/{name}")
+
+
+def load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped and not read; a file that is not mounted is copied into the node's own folder once."""
+    if not (root := _mounted(folder)):
+        root = f"{tempfile.gettempdir()}/levels-{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+        if not os.path.exists(f"{root}/{name}"):
+            fs, far = FileSystem.from_uri(folder)
+            os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+            part = f"{root}/{name}.{uuid.uuid4().hex}"
+            with fs.open_input_stream(f"{far}/{name}") as f, open(part, "wb") as out:
+                shutil.copyfileobj(f, out)
+            os.replace(part, f"{root}/{name}")
+    data = np.memmap(f"{root}/{name}", np.uint8, "r")
     size = int(data[:8].view(np.int64)[0])
     head = json.loads(data[8 : 8 + size].tobytes())
     out = {}
@@ -130,13 +164,3 @@ def load(path: str) -> dict[str, np.ndarray]:
 
 def named(name: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": v for k, v in arrays.items()}
-
-
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and their book: values between the same quantiles share a code, which stands for their mean."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    cuts = np.unique(np.quantile(x, np.linspace(0, 1, 257)[1:-1]))
-    codes = np.searchsorted(cuts, x, "left")
-    n = np.bincount(codes, minlength=len(cuts) + 1)
-    return codes.astype(np.uint8), np.bincount(codes, x, minlength=len(cuts) + 1) / np.maximum(n, 1)

@@ -59,7 +59,7 @@ def test_lm_against_a_dictionary_model(spark, monkeypatch):
         uni.update(w)
         pairs.update(zip([b" end", *w[:-1]], w))
     n, v = sum(uni.values()), len(uni)
-    assert (model.tokens, model.words) == (n, v) and len(model.cuts) > 16
+    assert (model.tokens, model.words) == (n, v) and len(model.cuts) > 16 and len(model.split) > 0
     levels = lm.Levels(model)
     vocab = sorted(uni, key=lambda w: lm.END if w == b" end" else lm.xxhash.xxh3_64_intdigest(w))
     hashes = np.array([lm.END if w == b" end" else lm.xxhash.xxh3_64_intdigest(w) for w in vocab], np.uint64)
@@ -145,37 +145,77 @@ def test_quality_stage_follows_the_verdict(spark, tmp_path):
     assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == 0
 
 
-def test_scores_after_contexts_cut_between_shards(spark, monkeypatch):
-    """score() in the workers that trained, against counts in dictionaries; the discounts are those of a pair's shard."""
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 200)
-    rng = np.random.default_rng(6)
-    text = lambda: " ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.3, 60))
-    train = [text() for _ in range(120)]
-    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(4))
+def dictionary_model(train):
+    """log10 probability of a text by counts in dictionaries: one set of modified Kneser-Ney discounts for the corpus."""
     pairs, uni = Counter(), Counter()
     for t in train:
         w = words(t)
         uni.update(w)
         pairs.update(zip([b" end", *w[:-1]], w))
-    hashed = {w: int(lm.END) if w == b" end" else lm.xxhash.xxh3_64_intdigest(w) for w in uni}
-    ids = {w: i for i, w in enumerate(sorted(uni, key=hashed.get))}
-    keys = {p: (ids[p[0]] << 32) + ids[p[1]] for p in pairs}
-    shard = {p: int(np.searchsorted(model.cuts, np.uint64(k), "right")) for p, k in keys.items()}
-    d = {s: lm.discounts(np.array([n for p, n in pairs.items() if shard[p] == s])) for s in set(shard.values())}
-    taken = {p: d[shard[p]][min(n, 3)] for p, n in pairs.items()}
-    back = Counter()
-    for p, x in taken.items():
-        back[p[0]] += x / uni[p[0]]
-    parts = Counter(c for c, _ in {(p[0], s) for p, s in shard.items()})
-    assert parts[b"w1"] > 1
+    n = [max(1, sum(c == k for c in pairs.values())) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [0] + [min(max(c - (c + 1) * y * n[c] / n[c - 1], 0.05), c - 0.05) for c in (1, 2, 3)]
+    back, unseen = Counter(), 1 / (sum(uni.values()) + len(uni) + 1)
+    for (c, _), k in pairs.items():
+        back[c] += d[min(k, 3)] / uni[c]
 
     def log10(t):
-        w, out = words(t), 0.0
-        for c, x in zip([b" end", *w[:-1]], w):
-            p = (uni[x] + 1) * model.unseen * (back[c] if c in uni else 1.0)
-            out += math.log10(p + ((pairs[c, x] - taken[c, x]) / uni[c] if (c, x) in pairs else 0.0))
-        return out
-
-    test = ["w1 nothing w1 nothing", "w1 w1 nothing w2 w1", *(text() for _ in range(40))]
-    got = lm.score(spark.createDataFrame(list(enumerate(test)), "doc_id long, text string").repartition(8), model).collect()
-    assert len(got) == len(test) and all(abs(r.score - log10(r.text)) < 0.02 * r.n_tokens for r in got)
+        w = words(t)
+        return sum(math.log10((uni[x] + 1) * unseen * (back[c] if c in uni else 1.0) + ((pairs[c, x] - d[min(pairs[c, x], 3)]) / uni[c] if pairs[c, x] else 0.0)) for c, x in zip([b" end", *w[:-1]], w))
+
+    return log10
+
+
+def test_every_token_s_probability(spark, monkeypatch):
+    """score() against counts in dictionaries, to the bound of the 8-bit codes, token by token: each text adds one token to another."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 200)
+    rng = np.random.default_rng(6)
+    text = lambda n=60: " ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.3, n))
+    train = [text() for _ in range(120)] + [text(2000)] + ["again and again"] * 3
+    frame = spark.createDataFrame([(t,) for t in train], "text string")
+    model, log10 = lm.train(frame.repartition(4)), dictionary_model(train)
+    assert len(model.split) > 1 and 0 < model.bound < 0.02
+    long = text(300).split()
+    test = ["", "w1 nothing w1 nothing", "again and again"] + [" ".join(long[:n]) for n in range(1, 301)]
+    got = {r.text: r for r in lm.score(spark.createDataFrame([(t,) for t in test], "text string").repartition(8), model).collect()}
+    for t in test:
+        assert abs(got[t].score - log10(t)) <= model.bound * got[t].n_tokens * 1.001, t
+    own = [abs(got[a].score - got[b].score - (log10(a) - log10(b))) for a, b in zip(test[4:], test[3:])]
+    assert max(own) < 4 * model.bound  # the last word and the end
+
+
+def test_one_model_whatever_the_partitions(spark, monkeypatch, sf):
+    """Shuffle partitions, input partitions and workers that already hold levels change no score."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 5000)
+    docs, before, found = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = lm.train(docs.repartition(n))
+            for m in (1, n):  # the second time in workers that have scored
+                found.append({r.doc_id: r.score for r in lm.score(docs.repartition(m), model).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(x.keys() == found[0].keys() and all(math.isclose(x[i], found[0][i], rel_tol=1e-12) for i in x) for x in found)
+
+
+def test_op2_scores_of_whole_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    log10 = dictionary_model([d.text for d in docs if zlib.crc32(str(d.doc_id).encode()) % 7 != 2])
+    got = {r.doc_id: r for r in queries.op2(spark, sf).collect()}
+    for d in docs:
+        assert abs(got[d.doc_id].score - log10(d.text)) <= 0.02 * got[d.doc_id].n_tokens
+
+
+def test_levels_on_another_file_system(tmp_path, monkeypatch):
+    """A folder that is not mounted is written through Arrow's file systems, and mapped from a copy."""
+    from pyarrow.fs import LocalFileSystem
+
+    class Far:
+        from_uri = staticmethod(lambda uri: (LocalFileSystem(), str(tmp_path / "far")))
+
+    monkeypatch.setattr(succinct, "FileSystem", Far)
+    monkeypatch.setattr(succinct.tempfile, "gettempdir", lambda: str(tmp_path / "node"))
+    for _ in range(2):
+        succinct.save("store://x/lm", "pairs/3", a=np.arange(5), b=np.zeros(0))
+    assert succinct.load("store://x/lm", "pairs/3")["a"].tolist() == [0, 1, 2, 3, 4] and (tmp_path / "far/pairs/3").exists() and len(list((tmp_path / "far/pairs").iterdir())) == 1
