@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlake.operators.missing import _long
-from sparrowlake.operators.ordered import running
+from sparrowlake.operators.ordered import number_bucket, running
 
 BIN_LABELS = ["1-10", "11-100", "101-1K", "1K-10K", "10K-100K", "100K+"]
 
@@ -51,23 +51,15 @@ def dense_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(df.agg(*(of(c) for c in columns)), columns).select("column_name", "value.*")
 
 
-def rank_auc(scores: DataFrame, keys: list[str] = [], bucket: Column | None = None) -> DataFrame:  # noqa: B006
+def rank_auc(scores: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Rank-sum AUC with averaged ties of (keys, y in 0/1, score): auc is null without both classes.
 
-    Rows are first counted by score, so the ordered part has a row a distinct score; with
-    ``bucket`` (an expression that follows the score) that part is spread as well, without
-    it each key's distinct scores are ordered together.
+    Rows are first counted by score, and the scores are ordered by buckets that follow them.
+    Keys are not null.
     """
     h = scores.groupBy(*keys, "score").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    if bucket is not None and not keys:
-        cum = running(h, bucket, [F.col("score")], ["neg"])
-        below = F.col("cum_neg") - F.col("neg")
-    else:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = h.withColumn("cum_neg", F.sum("neg").over(w))
-        below = F.col("cum_neg") - F.col("neg")
+    cum = running(h, number_bucket(F.col("score")), [F.col("score")], ["neg"], keys=keys)
+    below = F.col("cum_neg") - F.col("neg")
     wins = F.sum(F.col("pos") * (below + F.col("neg") / 2))
     return cum.groupBy(*keys).agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowlake.functions.columns import log_loss
 from sparrowlake.operators.distribution import rank_auc
+from sparrowlake.operators.ordered import following, number_bucket, running
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -46,16 +47,17 @@ def weighted(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df.agg(F.round(_ratio(F.sum(w * right), F.sum(w)), 6).alias("weighted_accuracy"), F.round(_ratio(F.sum(w * F.pow(F.col("score") - F.col("y"), F.lit(2))), F.sum(w)), 6).alias("weighted_brier"))
 
 
-def roc_auc(df: DataFrame, bucket: Column | None = None) -> DataFrame:
-    return rank_auc(df.select("y", "score"), bucket=bucket).select(F.round("auc", 6).alias("roc_auc"))
+def roc_auc(df: DataFrame) -> DataFrame:
+    return rank_auc(df.select("y", "score")).select(F.round("auc", 6).alias("roc_auc"))
 
 
 def thresholds(df: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """score, tp, fp at each distinct score taken as the threshold, and the totals p and n. Rows shrink to one a distinct score before they are ordered."""
+    """score, pos, neg, tp, fp at each distinct score taken as the threshold, and the totals p and n. Rows shrink to one a distinct score before they are ordered. Keys are not null."""
     h = df.groupBy(*keys, "score").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    return h.select(*keys, "score", "pos", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    cum = running(h, number_bucket(F.col("score")), [F.desc("score")], ["pos", "neg"], True, keys)
+    totals = h.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # a row a key
+    both = cum.join(totals, keys) if keys else cum.crossJoin(F.broadcast(totals))
+    return both.select(*keys, "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "p", "n")
 
 
 def average_precision(df: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -67,11 +69,10 @@ def average_precision(df: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa
 
 def roc_curve(df: DataFrame) -> DataFrame:
     """threshold, fpr, tpr: the corners of the curve (points on a straight line between their neighbours are left out) after (0, 0) at infinity."""
-    t = thresholds(df)
-    w = Window.orderBy(F.desc("score"))  # a row a distinct score
-    dx1, dy1 = F.col("fp") - F.lag("fp", 1, 0).over(w), F.col("tp") - F.lag("tp", 1, 0).over(w)
-    dx2, dy2 = F.lead("fp").over(w) - F.col("fp"), F.lead("tp").over(w) - F.col("tp")
-    x = t.withColumn("corner", F.coalesce(dx1 * dy2 != dx2 * dy1, F.lit(True))).where("corner")
+    t = following(thresholds(df), "score", ["pos", "neg"])
+    # a corner: the step to this point and the step from it differ in direction; the first and the last point are corners
+    corner = F.col("neg") * F.col("next_pos") != F.col("next_neg") * F.col("pos")
+    x = t.where(F.coalesce(corner, F.lit(True)))
     points = x.select(F.col("score").alias("threshold"), F.round(F.col("fp").cast("double") / F.col("n"), 6).alias("fpr"), F.round(F.col("tp").cast("double") / F.col("p"), 6).alias("tpr"))
     return df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).unionByName(points)
 
