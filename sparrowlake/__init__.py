@@ -1,3 +1,3 @@
-"""sparrowlake: lazy PySpark operators for recommender-system analytics."""
+"""sparrowlake: lazy PySpark operators for user-item interaction analytics."""
 
 __version__ = "0.1.0"

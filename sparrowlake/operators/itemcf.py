@@ -1,8 +1,9 @@
 """Item-based collaborative filtering over (user, item[, rating]) pairs.
 
 Co-occurrence is one self-join on the user, halved by item_i < item_j and summed with
-map-side combine; the mirror image is added after the aggregation. Adaptive execution
-splits the partitions of very active users.
+map-side combine; the mirror image is added after the aggregation, in the same pass. The
+items of a very active user are dealt to blocks of about ``BLOCK`` and joined a pair of
+blocks at a time, so no key of the join makes more than BLOCK^2 pairs.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: About so many items of a user are joined with each other under one key.
+BLOCK = 2000
+
+
 def pairs(log: DataFrame, user: str, item: str, rating: str | None = None) -> DataFrame:
     """Distinct (u, i), with the mean rating r, or 1."""
     return log.where(F.col(user).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(user).alias("u"), F.col(item).alias("i")).agg(F.avg(F.col(rating).cast("double")).alias("r") if rating else F.lit(1.0).alias("r"))
@@ -18,12 +23,19 @@ def pairs(log: DataFrame, user: str, item: str, rating: str | None = None) -> Da
 
 def _co(x: DataFrame, *sums: Column) -> DataFrame:
     """item_i < item_j with sums over the users that have both; ``x`` has u, i, v."""
-    a, b = x.select("u", F.col("i").alias("item_i"), F.col("v").alias("va")), x.select("u", F.col("i").alias("item_j"), F.col("v").alias("vb"))
-    return a.join(b, "u").where("item_i < item_j").groupBy("item_i", "item_j").agg(*sums)
+    blocks = x.groupBy("u").agg(F.expr(f"count(*) DIV {BLOCK} + 1").alias("blocks"))
+    dealt = x.join(blocks, "u").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    # a block meets each block, itself included, under the key (smaller number, larger number)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    side = lambda n: met.select("u", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("i").alias(f"item_{n}"), F.col("v").alias(f"v{'ab'[n == 'j']}"), F.col("own").alias(f"own_{n}"))
+    once = F.expr("item_i < item_j AND (own_i <> own_j OR p = q)")
+    return side("i").join(side("j"), ["u", "p", "q"]).where(once).groupBy("item_i", "item_j").agg(*sums)
 
 
 def _mirrored(s: DataFrame) -> DataFrame:
-    return s.unionByName(s.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), *[c for c in s.columns if c not in ("item_i", "item_j")]))
+    rest = [c for c in s.columns if c not in ("item_i", "item_j")]
+    both = F.array(F.struct("item_i", "item_j"), F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j")))
+    return s.select(F.explode(both).alias("e"), *rest).select("e.*", *rest)
 
 
 def cooccurrence(x: DataFrame) -> DataFrame:
@@ -80,11 +92,14 @@ def row_normalized(sim: DataFrame) -> DataFrame:
     return sim.withColumn("m", m).withColumn("sim", F.when(F.col("m") > 0, F.col("sim") / F.col("m")).otherwise(F.col("sim"))).drop("m")
 
 
-def recommend(history: DataFrame, sim: DataFrame, k: int = 10, weighted: bool = False) -> DataFrame:
+def top_unseen(history: DataFrame, sim: DataFrame, k: int = 10, weighted: bool = False) -> DataFrame:
     """u, rank, item_id, score, sim_sum: unseen items by the mean weight of the similar history items, then the sum of similarities, then the id."""
     h = history.select("u", F.col("i").alias("item_i"), (F.col("r") if weighted else F.lit(1.0)).alias("r"))
-    s = h.join(sim.select("item_i", "item_j", "sim"), "item_i").groupBy("u", F.col("item_j").alias("item_id")).agg(F.sum(F.col("sim") * F.col("r")).alias("num"), F.sum(F.abs("sim")).alias("sim_sum"))
-    fresh = s.where("sim_sum > 0").join(history.select("u", F.col("i").alias("item_id")), ["u", "item_id"], "left_anti")
+    near = h.join(sim.select("item_i", "item_j", "sim"), "item_i").select("u", F.col("item_j").alias("item_id"), (F.col("sim") * F.col("r")).alias("num"), F.abs("sim").alias("size"), F.lit(False).alias("seen"))
+    # the history goes through the same aggregation, so what a user has seen takes no join of its own
+    own = history.select("u", F.col("i").alias("item_id"), F.lit(0.0).alias("num"), F.lit(0.0).alias("size"), F.lit(True).alias("seen"))
+    s = near.unionByName(own).groupBy("u", "item_id").agg(F.sum("num").alias("num"), F.sum("size").alias("sim_sum"), F.bool_or("seen").alias("seen"))
+    fresh = s.where("sim_sum > 0 AND NOT seen")
     x = fresh.select("u", "item_id", F.round(F.col("num") / F.col("sim_sum"), 6).alias("score"), F.round("sim_sum", 6).alias("sim_sum"))
     r = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), F.desc("sim_sum"), "item_id"))
     return x.withColumn("rank", r).where(F.col("rank") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowlake.functions.columns import cosine, md5_word, uniform
-from sparrowlake.operators.ordered import hash_bucket, ranked, running
+from sparrowlake.operators.ordered import hash_bucket, number_bucket, ranked, running
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -21,7 +21,7 @@ def stratified(df: DataFrame, label: str, key: str, budget: int, seed: int = 42)
     total = counts.agg(F.sum("_n").alias("_t"))
     quota = counts.crossJoin(F.broadcast(total)).select("_l", F.greatest(F.lit(1), F.floor(F.lit(budget) * F.col("_n") / F.col("_t"))).cast("bigint").alias("_q"))
     r = ranked(x, hash_bucket(F.col("_h")), [F.col("_h"), F.col(key)], "_r", ["_l"])
-    return r.join(F.broadcast(quota), "_l").where("_r <= _q").drop("_l", "_h", "_r", "_q")
+    return r.join(quota, "_l").where("_r <= _q").drop("_l", "_h", "_r", "_q")
 
 
 def tail(df: DataFrame, item: str, keep: float = 0.95) -> DataFrame:
@@ -53,7 +53,7 @@ def weighted_order(df: DataFrame, key: str, weight: Column, n: int, seed: int =
 def item_pool(df: DataFrame, item: str) -> DataFrame:
     """item, freq, and idx from 0 in item order."""
     freq = df.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("item_id")).agg(F.count(F.lit(1)).alias("freq"))
-    r = ranked(freq, F.floor(F.col("item_id") / 1000), [F.col("item_id")], "idx")
+    r = ranked(freq, number_bucket(F.col("item_id")), [F.col("item_id")], "idx")
     return r.withColumn("idx", F.col("idx") - 1)
 
 
@@ -108,17 +108,17 @@ def _uniform(log: DataFrame, user: str, item: str, needs: DataFrame, more: int,
     return _first(draws.join(pool.select("idx", "item_id"), "idx"), spans, log, user, item, needs, seed)
 
 
-def _popularity(log: DataFrame, user: str, item: str, needs: DataFrame, more: int, power: float, seed: int, cells: int) -> DataFrame:
+def _popularity(log: DataFrame, user: str, item: str, needs: DataFrame, more: int, power: float, seed: int) -> DataFrame:
     pool = item_pool(log, item).withColumn("w", F.pow(F.col("freq").cast("double"), F.lit(power))).withColumn("k", F.greatest(F.round(F.col("w") * 65536), F.lit(1.0)).cast("bigint"))
-    total = pool.agg(F.sum("w").alias("total"), F.sum("k").alias("steps"))
-    cum = running(pool, F.floor(F.col("item_id") / 1000), [F.col("item_id")], ["w", "k"]).crossJoin(F.broadcast(total))
+    total = pool.agg(F.sum("w").alias("total"), F.sum("k").alias("steps"), F.greatest(F.count(F.lit(1)), F.lit(1024)).alias("cells"))  # as many cells as items
+    cum = running(pool, number_bucket(F.col("item_id")), [F.col("item_id")], ["w", "k"]).crossJoin(F.broadcast(total))
     hi, lo = F.col("cum_w") / F.col("total"), (F.col("cum_w") - F.col("w")) / F.col("total")
-    spans = cum.select("item_id", lo.alias("lo"), hi.alias("hi"))
-    spans = spans.withColumn("cell", F.explode(F.sequence(F.greatest(F.floor(F.col("lo") * cells) - 1, F.lit(0)), F.least(F.floor(F.col("hi") * cells) + 1, F.lit(cells - 1)))))
+    spans = cum.select("item_id", lo.alias("lo"), hi.alias("hi"), "cells")
+    spans = spans.withColumn("cell", F.explode(F.sequence(F.greatest(F.floor(F.col("lo") * F.col("cells")) - 1, F.lit(0)), F.least(F.floor(F.col("hi") * F.col("cells")) + 1, F.col("cells") - 1)))).drop("cells")
     u = uniform(F.lit(seed), F.col("user_id"), F.col("draw"))
-    draws = _draws(needs, more).withColumn("u", u).withColumn("cell", F.floor(F.col("u") * cells))
+    draws = _draws(needs, more).withColumn("u", u).crossJoin(F.broadcast(total.select("cells"))).withColumn("cell", F.floor(F.col("u") * F.col("cells")))
     found = draws.join(spans, "cell").where("u >= lo AND u < hi").select("user_id", "draw", "item_id")
-    steps = cum.select("item_id", (F.col("cum_k") - F.col("k")).alias("lo"), F.col("k").alias("w"), F.col("steps").alias("total"), F.expr(f"steps div {cells} + 1").alias("width"))
+    steps = cum.select("item_id", (F.col("cum_k") - F.col("k")).alias("lo"), F.col("k").alias("w"), F.col("steps").alias("total"), F.expr("steps div cells + 1").alias("width"))
     return _first(found, steps, log, user, item, needs, seed)
 
 
@@ -127,9 +127,9 @@ def negatives_uniform(log: DataFrame, user: str, item: str, n: int = 5, tries: i
     return _uniform(log, user, item, _needs(log, user, item, n, per_positive), tries - n, seed)
 
 
-def negatives_popularity(log: DataFrame, user: str, item: str, n: int = 5, tries: int = 20, power: float = 0.75, seed: int = 42, cells: int = 1024, per_positive: bool = False) -> DataFrame:
+def negatives_popularity(log: DataFrame, user: str, item: str, n: int = 5, tries: int = 20, power: float = 0.75, seed: int = 42, per_positive: bool = False) -> DataFrame:
     """As negatives_uniform, with chances proportional to freq^power: the draws meet the items' intervals of the cumulative chance, cell by cell."""
-    return _popularity(log, user, item, _needs(log, user, item, n, per_positive), tries - n, power, seed, cells)
+    return _popularity(log, user, item, _needs(log, user, item, n, per_positive), tries - n, power, seed)
 
 
 def negatives_in_batch(rows: DataFrame, batch: str, row: str, item: str, n: int = 2, seed: int = 42) -> DataFrame:
@@ -153,5 +153,5 @@ def negatives_mixed(log: DataFrame, user: str, item: str, n: int = 5, uniform_sh
     a = F.floor(F.col("need") * uniform_share).cast("bigint")
     part = lambda x: needs.select("user_id", x.alias("need")).where("need > 0")
     first = _uniform(log, user, item, part(a), 20 - int(n * uniform_share), seed).withColumn("strategy", F.lit("uniform"))
-    rest = _popularity(log, user, item, part(F.col("need") - a), 20 - (n - int(n * uniform_share)), 0.75, seed, 1024).withColumn("strategy", F.lit("popularity"))
+    rest = _popularity(log, user, item, part(F.col("need") - a), 20 - (n - int(n * uniform_share)), 0.75, seed).withColumn("strategy", F.lit("popularity"))
     return first.unionByName(rest)

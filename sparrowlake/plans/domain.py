@@ -1,4 +1,4 @@
-"""The test tables as recommender data: as DataFrames, and as SQL for the oracles."""
+"""The test tables as interaction data: as DataFrames, and as SQL for the oracles."""
 
 from __future__ import annotations
 

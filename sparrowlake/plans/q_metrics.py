@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparrowlake.operators import itemcf, metrics, ranking, results, splits, vectors
 from sparrowlake.plans.catalog import REGISTRY
 from sparrowlake.plans.domain import LOG, interactions
-from sparrowlake.plans.q_sampling import recommend_sql
+from sparrowlake.plans.q_sampling import unseen_sql
 from sparrowlake.plans.registry import table
 
 query = REGISTRY.query
@@ -62,7 +62,7 @@ _AP = "round(sum(pos::DOUBLE / p * tp / (tp + fp)), 6) AS average_precision"
 
 @query("roc_auc", f"WITH d AS ({PRED}), r AS (SELECT y, {_RANK.format(p='', q='')} FROM d) SELECT round({_AUC}, 6) AS roc_auc FROM r")
 def roc_auc(spark, sf_dir):
-    return metrics.roc_auc(predictions(spark, sf_dir), F.floor(F.col("score") * 16))
+    return metrics.roc_auc(predictions(spark, sf_dir))
 
 
 @query("average_precision", f"WITH d AS ({PRED}), {_ALL} SELECT {_AP} FROM t")
@@ -178,14 +178,14 @@ _E2E_X = f"z AS ({LOG}), train AS (SELECT * FROM z WHERE ts < '1997-01-01'::TIME
 _E2E = "SELECT rec.u AS group_id, rec.item_id AS candidate_id, (-rank)::DOUBLE AS score, (held.i IS NOT NULL)::INTEGER AS relevance, t.total AS tot FROM rec JOIN (SELECT u, count(*) AS total FROM held GROUP BY 1) t ON t.u = rec.u LEFT JOIN held ON held.u = rec.u AND held.i = rec.item_id"
 
 
-@query("itemcf_end_to_end", f"WITH {recommend_sql(_E2E_X)}, {ranking_sql(_E2E, 'tot')} {_SUMMARY}")
+@query("itemcf_end_to_end", f"WITH {unseen_sql(_E2E_X)}, {ranking_sql(_E2E, 'tot')} {_SUMMARY}")
 def itemcf_end_to_end(spark, sf_dir):
-    """Split by time, fit item similarities, recommend, and rank against what users did next."""
+    """Split by time, fit item similarities, take the best unseen items, and rank against what users did next."""
     log, cut = interactions(spark, sf_dir), F.lit("1997-01-01").cast("timestamp_ntz")
     x = itemcf.pairs(log.where(F.col("ts") < cut), "user_id", "item_id")
     held = log.where(F.col("ts") >= cut).select(F.col("user_id").alias("group_id"), F.col("item_id").alias("candidate_id")).distinct().withColumn("relevance", F.lit(1))
     totals = held.groupBy("group_id").agg(F.count(F.lit(1)).alias("total"))
-    rec = itemcf.recommend(x, itemcf.cosine(x, 20), 10).select(F.col("u").alias("group_id"), F.col("item_id").alias("candidate_id"), (-F.col("rank")).cast("double").alias("score"))
+    rec = itemcf.top_unseen(x, itemcf.cosine(x, 20), 10).select(F.col("u").alias("group_id"), F.col("item_id").alias("candidate_id"), (-F.col("rank")).cast("double").alias("score"))
     flat = rec.join(totals.select("group_id"), "group_id", "left_semi").join(held, ["group_id", "candidate_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
     return ranking.summary(flat, ranking.group_metrics(flat, relevant=totals))
 
@@ -269,13 +269,13 @@ _SCORES = {
 def _knn(metric: str):
     def f(spark, sf_dir):
         e = table(spark, sf_dir, "embeddings")
-        return vectors.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, metric)
+        return vectors.knn(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, metric)
 
     return f
 
 
 for _metric, _expr in _SCORES.items():
-    query(f"vector_topk_{_metric}", f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {_expr} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM p) SELECT query_id, rank::INTEGER AS rank, vec_id, round(s, 6) AS score FROM r WHERE rank <= 5")(_knn(_metric))
+    query(f"vector_topk_{_metric}", f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {_expr} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM p) SELECT query_id, rank::INTEGER AS rank, vec_id, round(s, 6) AS score FROM r WHERE rank <= 5")(_knn(_metric))
 
 
 @query("vector_mean_std", "SELECT (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(stddev_pop(embedding[i]::DOUBLE), 6) AS std FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) z GROUP BY i")

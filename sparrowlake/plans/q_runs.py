@@ -64,4 +64,4 @@ def preprocess_encode(spark, sf_dir):
 @query("vector_lsh")
 def vector_lsh(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return vectors.lsh_neighbours(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 1.2)
+    return vectors.lsh_neighbours(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 1.2)

@@ -131,7 +131,7 @@ def per_user_split(spark, sf_dir):
 )
 def cumulative_split(spark, sf_dir):
     u = events(spark, sf_dir).groupBy("user_id").agg((F.count(F.lit(1)) - 1).alias("positions"))
-    return splits.cumulative(u, "user_id", "positions", bucket=10)
+    return splits.cumulative(u, "user_id", "positions")
 
 
 _SEQ = "s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS items, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY 1), p AS (SELECT *, unnest(range(1, len(items))) AS pos FROM s WHERE len(items) >= 2)"
@@ -193,7 +193,7 @@ def min_action_filter(spark, sf_dir):
 
 @query("dense_id_map", "SELECT l_partkey AS id, row_number() OVER (ORDER BY l_partkey)::BIGINT AS dense_id FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey <> 0)")
 def dense_id_map(spark, sf_dir):
-    return splits.dense_ids(table(spark, sf_dir, "lineitem"), "l_partkey", 100)
+    return splits.dense_ids(table(spark, sf_dir, "lineitem"), "l_partkey")
 
 
 @query(
@@ -331,17 +331,17 @@ def sim_row_normalized(spark, sf_dir):
     return _out(itemcf.row_normalized(itemcf.cosine(_rated(spark, sf_dir), 10)))
 
 
-def recommend_sql(x: str, k: int = 10, neighbours: int = 20) -> str:
+def unseen_sql(x: str, k: int = 10, neighbours: int = 20) -> str:
     """CTEs ending in rec (u, rank, item_id, score, sim_sum) for a table x(u, i, r)."""
     return f"""{x}, sim AS ({_COSINE}), t AS (SELECT *, row_number() OVER (PARTITION BY item_i ORDER BY round(sim, 9) DESC, item_j) AS rank FROM sim), k AS (SELECT * FROM t WHERE rank <= {neighbours}),
 s AS (SELECT u, item_j AS item_id, round(sum(sim) / sum(abs(sim)), 6) AS score, round(sum(abs(sim)), 6) AS sim_sum FROM x JOIN k ON item_i = i GROUP BY 1, 2),
 f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.u = s.u AND x.i = s.item_id)), placed AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, sim_sum DESC, item_id) AS rank FROM f), rec AS (SELECT * FROM placed WHERE rank <= {k})"""
 
 
-@query("recommend_topk", f"WITH {recommend_sql(_X)} SELECT u, rank::INTEGER AS rank, item_id, score, sim_sum FROM rec")
-def recommend_topk(spark, sf_dir):
+@query("unseen_topk", f"WITH {unseen_sql(_X)} SELECT u, rank::INTEGER AS rank, item_id, score, sim_sum FROM rec")
+def unseen_topk(spark, sf_dir):
     x = _rated(spark, sf_dir)
-    return itemcf.recommend(x, itemcf.cosine(x, 20), 10)
+    return itemcf.top_unseen(x, itemcf.cosine(x, 20), 10)
 
 
 @query("merge_cooccurrence", f"WITH {_X} SELECT a.i AS item_i, b.i AS item_j, count(*)::BIGINT AS together FROM x a JOIN x b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2")

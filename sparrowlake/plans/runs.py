@@ -61,12 +61,12 @@ def profile_report(df: DataFrame, title: str) -> tuple[str, dict[str, str]]:
 
 
 def experiment(log: DataFrame, ts: str, row: str, similarity: Callable[[DataFrame, int], DataFrame] = itemcf.cosine, neighbours: int = 20, k: int = 10) -> DataFrame:
-    """Split by time, fit, recommend, evaluate: metric, value, std, group_count."""
+    """Split by time, fit, take the best unseen items, evaluate: metric, value, std, group_count."""
     x = splits.temporal(log, ts, row)
     train = itemcf.pairs(x.where("split = 'train'"), "user_id", "item_id")
     held = x.where("split <> 'train'").select(F.col("user_id").alias("group_id"), F.col("item_id").alias("candidate_id")).distinct().withColumn("relevance", F.lit(1))
     totals = held.groupBy("group_id").agg(F.count(F.lit(1)).alias("total"))
-    rec = itemcf.recommend(train, similarity(train, neighbours), k).select(F.col("u").alias("group_id"), F.col("item_id").alias("candidate_id"), (-F.col("rank")).cast("double").alias("score"))
+    rec = itemcf.top_unseen(train, similarity(train, neighbours), k).select(F.col("u").alias("group_id"), F.col("item_id").alias("candidate_id"), (-F.col("rank")).cast("double").alias("score"))
     flat = rec.join(totals.select("group_id"), "group_id", "left_semi").join(held, ["group_id", "candidate_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
     return ranking.summary(flat, ranking.group_metrics(flat, (5, k), totals), (5, k))
 

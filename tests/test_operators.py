@@ -66,13 +66,13 @@ def test_item_cf(log, spark):
     x = itemcf.pairs(log, "user_id", "item_id")
     sim = {(r.item_i, r.item_j): r.sim for r in itemcf.cosine(x).collect()}
     assert abs(sim[1, 2] - 1.0) < 1e-12 and abs(sim[0, 1] - 1 / math.sqrt(6)) < 1e-12 and sim[0, 1] == sim[1, 0] and (0, 0) not in sim
-    rec = itemcf.recommend(x, itemcf.cosine(x), 5).collect()
+    rec = itemcf.top_unseen(x, itemcf.cosine(x), 5).collect()
     seen = set(LOG)
     assert rec and all((r.u, r.item_id) not in seen and 0 <= r.score <= 1 for r in rec)
     lonely = itemcf.pairs(spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "user_id long, item_id long"), "user_id", "item_id")
-    assert itemcf.recommend(lonely, itemcf.cosine(lonely), 5).count() == 0
+    assert itemcf.top_unseen(lonely, itemcf.cosine(lonely), 5).count() == 0
     full = itemcf.pairs(spark.createDataFrame([(u, i) for u in (0, 1) for i in (0, 1, 2)], "user_id long, item_id long"), "user_id", "item_id")
-    assert itemcf.recommend(full, itemcf.cosine(full), 5).count() == 0
+    assert itemcf.top_unseen(full, itemcf.cosine(full), 5).count() == 0
     assert itemcf.pearson(x).count() == 0  # ratings without spread correlate with nothing
 
 
