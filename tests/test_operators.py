@@ -1,15 +1,19 @@
 """Operators on small fixtures with known results, and on empty and odd input."""
 
 import math
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparrowlake.functions import columns as fn
-from sparrowlake.operators import distribution, encoders, itemcf, metrics, missing, profiles, ranking, sampling, sparsity, splits, vectors
+from sparrowlake.operators import distribution, encoders, itemcf, metrics, missing, ordered, profiles, ranking, sampling, sparsity, splits, vectors
 from sparrowlake.sources import tables
 
-LOG = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (1, 3), (2, 0), (2, 3), (2, 4), (3, 4), (3, 5), (3, 6), (4, 0), (4, 6), (4, 7)]
+#: Made by rule: user u has two to four items.
+LOG = sorted({(u, (u * u + 3 * j) % 11) for u in range(9) for j in range(2 + u % 3)})
 
 
 @pytest.fixture()
@@ -18,16 +22,20 @@ def log(spark):
 
 
 def test_missing_rates(spark):
-    df = spark.createDataFrame([(1.0, None, 1.0, 0), (None, 2.0, 2.0, 1), (3.0, None, 3.0, 0), (None, 4.0, 4.0, 1), (5.0, 5.0, float("nan"), 1)], "a double, b double, c double, label int")
+    rows = [(None if i % 4 == 0 else float(i), None if i % 3 else 2.0 * i, float("nan") if i == 11 else 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
     got = {r.column_name: r for r in missing.null_rates(df).collect()}
-    assert (got["a"].null_rate, got["a"].coverage, got["c"].null_rate) == (0.4, 0.6, 0.2)
-    assert missing.overall(df).first().overall_rate == 0.25
+    lost = [sum(r[j] is None or r[j] != r[j] for r in rows) for j in range(3)]
+    assert [round(12 * got[c].null_rate) for c in "abc"] == lost == [3, 8, 1] and got["a"].coverage == 0.75
+    assert missing.overall(df).first().overall_rate == pytest.approx(sum(lost) / 36, abs=1e-4)
     assert missing.overall(df.limit(0)).first().overall_rate is None
 
 
 def test_label_gap(spark):
-    df = spark.createDataFrame([(1.0, None, 0), (None, None, 0), (None, 3.0, 1), (4.0, 4.0, 1)], "feat_a double, feat_b double, label int")
-    assert [(r.column_name, r.gap) for r in missing.label_gap(df, "label").collect()] == [("feat_b", 1.0)]
+    """x is missing in a fifth of label 0 and in all of label 1, y in the same share of both."""
+    rows = [(None if i % 5 == 0 or i >= 10 else 1, None if i % 2 else 1, int(i >= 10)) for i in range(20)]
+    df = spark.createDataFrame(rows, "x int, y int, label int")
+    assert [(r.column_name, round(r.gap, 4)) for r in missing.label_gap(df, "label").collect()] == [("x", 0.8)]
 
 
 def test_sequences(spark):
@@ -42,7 +50,7 @@ def test_sequences(spark):
 
 def test_gini_bounds(log, spark):
     g = sparsity.gini(sparsity.entity_counts(log, "item_id")).first().gini
-    counts = sorted([3, 2, 2, 2, 2, 1, 2, 1])
+    counts = sorted(Counter(i for _, i in LOG).values())
     n = len(counts)
     assert abs(g - (2 * sum((i + 1) * c for i, c in enumerate(counts)) / (n * sum(counts)) - (n + 1) / n)) < 1e-12
     equal = spark.createDataFrame([(i,) for i in range(9)], "item_id long")
@@ -58,20 +66,40 @@ def test_next_item_samples(spark):
 
 
 def test_dense_ids(spark):
-    df = spark.createDataFrame([(0,), (100,), (9999,), (2000,), (100,), (None,)], "id long")
-    assert {r.id: r.dense_id for r in splits.dense_ids(df, "id").collect()} == {100: 1, 2000: 2, 9999: 3}
+    ids = [(17 * i * i) % 1009 - 40 for i in range(30)] + [0, 2**62 + 5, 2**62 + 4, 2**40, None, None]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    want = {x: n for n, x in enumerate(sorted({x for x in ids if x}), 1)}
+    assert {r.id: r.dense_id for r in splits.dense_ids(df, "id").collect()} == want
 
 
-def test_item_cf(log, spark):
+def test_number_buckets_follow_the_order(spark):
+    values = [None, float("-inf"), -1e300, -2.5, -2.0, -1e-320, 0.0, 5e-324, 1e-300, 0.1, 0.1000001, 0.5, 0.99, 1.0, 3.0, 2.0**62, 1.7e308, float("inf"), float("nan")]
+    got = [r.b for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", ordered.number_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(got) and len(set(got)) >= len(got) - 2
+
+
+def similarities(log):
+    """Cosine of item pairs, by dictionaries."""
+    users = {}
+    for u, i in log:
+        users.setdefault(i, set()).add(u)
+    return {(i, j): len(a & b) / math.sqrt(len(a) * len(b)) for i, a in users.items() for j, b in users.items() if i != j and a & b}
+
+
+def test_item_cf(log, spark, monkeypatch):
     x = itemcf.pairs(log, "user_id", "item_id")
-    sim = {(r.item_i, r.item_j): r.sim for r in itemcf.cosine(x).collect()}
-    assert abs(sim[1, 2] - 1.0) < 1e-12 and abs(sim[0, 1] - 1 / math.sqrt(6)) < 1e-12 and sim[0, 1] == sim[1, 0] and (0, 0) not in sim
-    rec = itemcf.top_unseen(x, itemcf.cosine(x), 5).collect()
-    seen = set(LOG)
-    assert rec and all((r.u, r.item_id) not in seen and 0 <= r.score <= 1 for r in rec)
-    lonely = itemcf.pairs(spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "user_id long, item_id long"), "user_id", "item_id")
+    want = similarities(LOG)
+    for block in (2000, 1):  # one block a user, and blocks of an item or two
+        monkeypatch.setattr(itemcf, "BLOCK", block)
+        sim = {(r.item_i, r.item_j): r.sim for r in itemcf.cosine(x).collect()}
+        assert sim.keys() == want.keys() and all(abs(sim[k] - want[k]) < 1e-12 for k in want)
+    got, seen = {(r.u, r.item_id): r for r in itemcf.top_unseen(x, itemcf.cosine(x), 50).collect()}, set(LOG)
+    items = {i for _, i in LOG}
+    total = {(u, j): sum(want.get((i, j), 0) for v, i in LOG if v == u) for u in range(9) for j in items if (u, j) not in seen}
+    assert got.keys() == {k for k, v in total.items() if v > 0} and all(abs(r.sim_sum - total[k]) < 1e-5 and r.score == 1 for k, r in got.items())
+    lonely = itemcf.pairs(spark.createDataFrame([(u, 7 * u) for u in range(4)], "user_id long, item_id long"), "user_id", "item_id")
     assert itemcf.top_unseen(lonely, itemcf.cosine(lonely), 5).count() == 0
-    full = itemcf.pairs(spark.createDataFrame([(u, i) for u in (0, 1) for i in (0, 1, 2)], "user_id long, item_id long"), "user_id", "item_id")
+    full = itemcf.pairs(spark.createDataFrame([(u, i) for u in range(3) for i in range(4)], "user_id long, item_id long"), "user_id", "item_id")
     assert itemcf.top_unseen(full, itemcf.cosine(full), 5).count() == 0
     assert itemcf.pearson(x).count() == 0  # ratings without spread correlate with nothing
 
@@ -80,7 +108,7 @@ def test_negatives(log):
     own = set(LOG)
     for f in (sampling.negatives_uniform, sampling.negatives_popularity):
         got = f(log, "user_id", "item_id", n=3, tries=40).collect()
-        assert len(got) == 15 and all((r.user_id, r.item_id) not in own for r in got)
+        assert len(got) == 27 and all((r.user_id, r.item_id) not in own for r in got)
         assert sorted(got) == sorted(f(log, "user_id", "item_id", n=3, tries=40).collect())
 
 
@@ -134,26 +162,57 @@ def test_encoders(spark):
     assert encoders.normalize(a.withColumn("num", F.lit(5.0)), "num", "minmax", "v").first().v == 0.0
 
 
+def curves(rows):
+    """AUC by pairs, average precision by thresholds."""
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    ap, held = 0.0, 0
+    for t in sorted({s for _, s in rows}, reverse=True):
+        tp, all_ = sum(s >= t for s in pos), sum(s >= t for _, s in rows)
+        ap, held = ap + (tp - held) / len(pos) * tp / all_, tp
+    return auc, ap
+
+
 def test_binary_metrics(spark):
-    df = spark.createDataFrame(list(zip([0, 0, 1, 1, 0, 1], [0.1, 0.2, 0.9, 0.85, 0.15, 0.95])), "y int, score double")
-    assert metrics.roc_auc(df).first().roc_auc == 1.0 and metrics.average_precision(df).first().average_precision == 1.0
-    assert metrics.suite(df).first().accuracy == 1.0
-    one = spark.createDataFrame([(1, 0.9)], "y int, score double")
+    rnd = random.Random(11)
+    real = [(int(rnd.random() < 0.4), rnd.random()) for _ in range(300)]
+    for rows in (real, [(y, round(s, 1)) for y, s in real], [(y, (s - 0.5) * 1e6) for y, s in real], [(y, 0.5 + s * 1e-9) for y, s in real]):
+        df, (auc, ap) = spark.createDataFrame(rows, "y int, score double"), curves(rows)
+        assert metrics.roc_auc(df).first().roc_auc == round(auc, 6) and metrics.average_precision(df).first().average_precision == pytest.approx(ap, abs=1e-6)
+        points = sorted((r.threshold, r.fpr, r.tpr) for r in metrics.roc_curve(df).collect())
+        share = lambda t, y: sum(s >= t for k, s in rows if k == y) / sum(k == y for k, _ in rows)
+        assert all(f == round(share(t, 0), 6) and r == round(share(t, 1), 6) for t, f, r in points)
+        area = sum((a[1] - b[1]) * (a[2] + b[2]) / 2 for a, b in zip(points, points[1:]))
+        assert area == pytest.approx(auc, abs=1e-4)  # what lies between the corners is straight
+    parted = spark.createDataFrame([(int(i > 6), i / 13) for i in range(13)], "y int, score double")
+    assert metrics.roc_auc(parted).first().roc_auc == 1.0 and metrics.average_precision(parted).first().average_precision == 1.0
+    one = spark.createDataFrame([(1, 0.7)], "y int, score double")
     assert metrics.roc_auc(one).first().roc_auc is None and metrics.suite(one).first().specificity == 0.0
-    ties = spark.createDataFrame([(0, 0.5), (1, 0.5), (1, 0.5), (0, 0.5)], "y int, score double")
+    ties = spark.createDataFrame([(i % 2, 0.25) for i in range(10)], "y int, score double")
     assert metrics.roc_auc(ties).first().roc_auc == 0.5
-    assert metrics.roc_auc(df.limit(0)).count() <= 1
+    assert metrics.roc_auc(parted.limit(0)).count() <= 1
+
+
+def test_no_window_takes_a_whole_column(spark):
+    """The windows over scores and ids are parted by buckets; what is ordered in one place is a row a bucket."""
+    df = spark.range(100).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 7).alias("score"))
+    for x in (metrics.roc_auc(df), metrics.average_precision(df), metrics.roc_curve(df), metrics.pr_curve(df), splits.dense_ids(spark.range(50), "id")):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        first = re.findall(r"windowspecdefinition\((\w+)#\d+L?( ASC| DESC)?", plan)  # a window that begins with an order has no partition
+        assert first and {name for name, order in first if order} <= {"_bucket"}, first
 
 
 def test_ranking(spark):
-    rows = list(zip([0, 0, 0, 1, 1, 1, 2], [10, 20, 30, 11, 21, 31, 5], [0.9, 0.5, 0.1, 0.8, 0.6, 0.2, 0.3], [1, 0, 0, 0, 1, 0, 0]))
+    """Three groups: hits at places 1 and 3, at place 2, and none."""
+    rows = [(7, 100 + i, 1 / (i + 1), int(i in (0, 2))) for i in range(4)] + [(8, 200 + i, 5.0 - i, int(i == 1)) for i in range(6)] + [(9, 300, 0.4, 0)]
     df = spark.createDataFrame(rows, "group_id long, candidate_id long, score double, relevance int")
     got = {r.group_id: r for r in ranking.group_metrics(df, (2, 5)).collect()}
-    assert set(got) == {0, 1} and (got[0].mrr, got[1].mrr) == (1.0, 0.5)
-    assert got[1]["ndcg@2"] == pytest.approx(1 / math.log2(3)) and got[0]["ndcg@5"] is None
+    assert set(got) == {7, 8} and (got[7].mrr, got[8].mrr) == (1.0, 0.5)
+    assert got[8]["ndcg@2"] == pytest.approx(1 / math.log2(3)) and got[8]["ndcg@5"] == pytest.approx(1 / math.log2(3)) and got[7]["ndcg@5"] is None
+    assert got[7]["ndcg@2"] == pytest.approx(1 / (1 + 1 / math.log2(3)))
     assert tuple(ranking.counters(df).first()) == (3, 2, 1)
-    perfect = spark.createDataFrame([(0, c, s, int(c <= 20)) for c, s in zip((10, 20, 30, 40, 50), (0.9, 0.8, 0.5, 0.3, 0.1))], "group_id long, candidate_id long, score double, relevance int")
-    assert ranking.group_metrics(perfect, (5,)).first()["ndcg@5"] == pytest.approx(1)
+    best = spark.createDataFrame([(1, i, -float(i), int(i < 3)) for i in range(8)], "group_id long, candidate_id long, score double, relevance int")
+    assert ranking.group_metrics(best, (5,)).first()["ndcg@5"] == pytest.approx(1)
 
 
 def test_feature_auc_reasons(spark):
