@@ -14,10 +14,13 @@ probability 5e-7. Candidates are confirmed on the full shingle sets.
 
 No bucket emits all its pairs. First every member of a bucket is paired with the
 bucket's smallest member; confirmed links merge a group of near copies at once. Members
-of a bucket that are still in different classes are then held against each other by an
-exact prefix filter over their shingles, rare ones first, so links that do not pass
-through the smallest member are found as well, while documents that have only
-widespread passages in common do not meet.
+in other classes than that are paired with the smallest of them, which merges a group
+whose bucket has a stranger as its smallest member. Members that are still in different
+classes are then held against each other by an exact prefix filter over their shingles,
+rare ones first, so links that pass through no such member are found as well. Where the
+first common shingle stands in two sets bounds the sizes that can go together; the
+sizes are part of the join's key, so documents that have only a widespread passage in
+common, however many they are, make no pairs.
 Classes come from alternating large-star and small-star steps over tables in the
 shared folder; only row counts and checksums reach the driver.
 
@@ -42,6 +45,8 @@ BANDS, ROWS = 48, 6
 #: Up to so many ids a list of documents is broadcast (16 MB of longs at most); beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 EDGES_PER_FILE = 1_000_000
+#: Size classes have a ratio of exp(1 / SIZE_CLASSES).
+SIZE_CLASSES = 50
 
 
 def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -128,38 +133,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc_id, n, component, shingle): the rarest shingles of each set, so many that two sets of enough similarity share one of them.
+    """(doc_id, n, component, shingle, most): the rarest shingles of each set, so many that two sets of enough similarity share one of them.
 
     In one total order (rare first) two sets x, y with den * |x & y| >= num * |x | y| have
     a shingle in common among the first |x| - ceil(num |x| / den) + 1 of x and the same of y.
     What many documents share comes late in the order, so sets that have mainly such
-    shingles in common do not meet. Repeated rows count once: they would take the places of
-    other shingles.
+    shingles in common do not meet. ``most`` is the largest set that can go with this one if
+    that is their first common shingle: what stands from there on in the order, r shingles,
+    has to be num / (num + den) of both sizes' sum. Shingles of one component only are left
+    out at the end. Repeated rows count once: they would take the places of other shingles.
     """
-    each = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    # the set's size and hash are computed under the generator: above it they would be computed for each shingle
+    own = sets.select("doc_id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), "shingles")
+    each = own.select("doc_id", "component", "n", "set", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("component") < F.max("component")).alias("shared"))
     order = Window.partitionBy("doc_id", "component", "set").orderBy("df", "shingle")
     place, again = F.dense_rank().over(order), F.lag("shingle").over(order).eqNullSafe(F.col("shingle"))
     keep = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    return each.join(often, "shingle").withColumns({"place": place, "again": again}).where((F.col("place") <= keep) & ~F.col("again")).select("doc_id", "n", "component", "shingle", (F.col("n") - F.col("place") + 1).alias("rest"))
+    most = F.expr(f"({num} + {den}) * (n - place + 1) DIV {num} - n")
+    return each.join(often, "shingle").withColumns({"place": place, "again": again}).where((F.col("place") <= keep) & ~F.col("again") & F.col("shared")).select("doc_id", "n", "component", "shingle", most.alias("most"))
 
 
 def crossing(sets: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of documents in different components that can be similar enough (sets: doc_id, component, shingles).
 
-    Components meet at a shingle first, one row a component; only members that hold the
-    shingle in two components that meet there are then paired. Where the first common
-    shingle of two sets stands, the fewer of the shingles from there on bound what they
-    have in common, which has to be num / (num + den) of both sizes' sum.
+    The larger set of a pair (b) looks for smaller ones (a) at each shingle of its prefix, by
+    size class (steps of 2 %), from num / den of its own size up to the bound ``most``. A
+    set waits there only if its own bound lets it go with one of its size or more: else
+    it could be no pair's smaller set.
     """
-    p, path = stage(prefixes(sets, num, den), "prefixes")
-    at = p.groupBy("shingle", "component").agg(F.max("rest").alias("rest"), F.min("n").alias("n"))
-    side = lambda x: at.select("shingle", F.col("component").alias(f"c{x}"), F.col("rest").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    enough = (num + den) * F.least("ra", "rb") >= num * (F.col("na") + F.col("nb"))
-    met = side("a").join(side("b"), "shingle").where(F.expr("ca < cb") & enough).select("shingle", "ca", "cb")
-    member = lambda x: p.select("shingle", F.col("component").alias(f"c{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}"))
-    size_ok = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    return met.join(member("a"), ["shingle", "ca"]).join(member("b"), ["shingle", "cb"]).where(size_ok & enough).select("a", "b").distinct()
+    p, _ = stage(prefixes(sets, num, den), "prefixes")
+    size_class = lambda n: F.floor(F.log(F.col(n).cast("double")) * SIZE_CLASSES)
+    looks = p.withColumns({"low": F.expr(f"({num} * n + {den} - 1) DIV {den}"), "high": F.least("n", "most")}).where("low <= high")
+    looks = looks.select("shingle", F.col("component").alias("cb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.explode(F.sequence(size_class("low"), size_class("high"))).alias("size_class"))
+    waits = p.where("most >= n").select("shingle", F.col("component").alias("ca"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), size_class("n").alias("size_class"))
+    fits = F.expr(f"ca <> cb AND na <= nb AND na <= mb AND nb <= ma AND {den} * na >= {num} * nb")
+    return waits.join(looks, ["shingle", "size_class"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,19 +217,30 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     labels, labels_path = stage(components(links), "labels")
 
     # what is left: members of one bucket in different classes, none of them its hub
-    named = members.where("rep <> hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    open_ = named.join(mixed, "key", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
-    rest, rest_path = stage(open_, "open")
-    rest_sets, rest_sets_path = stage(sets_of(df, doc_id, text, k, rest.select("doc_id").distinct()).join(rest, "doc_id"), "open-sets")
-    second, second_path = stage(crossing(rest_sets, num, den).join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    class_of = lambda x, c: x.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class")), c, "left").withColumn(f"{c}_class", F.coalesce(f"{c}_class", c))
+    others = class_of(class_of(members.where("rep <> hub"), "rep"), "hub")
+    mixed = F.expr("min(rep_class) < max(rep_class)")
+    seconds = others.groupBy("key").agg(mixed.alias("mixed"), F.min(F.when(F.col("rep_class") != F.col("hub_class"), F.struct("rep", "n", "rep_class"))).alias("second")).where("mixed").select("key", "second")
+    rest, rest_path = stage(others.join(seconds, "key").select("key", "n", "rep", "rep_class", "hub_class", "second"), "open")
+    rest_sets, rest_sets_path = stage(sets_of(df, doc_id, text, k, rest.select(F.col("rep").alias("doc_id")).distinct()), "open-sets")
+    apart = rest.where("rep_class <> hub_class AND rep_class <> second.rep_class").select(F.col("second.rep").alias("a"), F.col("rep").alias("b"), F.col("second.n").alias("na"), F.col("n").alias("nb"))
+    second, second_path = stage(apart.where(size_ok).select("a", "b").distinct(), "second-pairs")
     if not second.isEmpty():
-        more, _ = stage(confirmed(second, rest_sets, num, den), "more-links")
+        more, _ = stage(confirmed(second, rest_sets, num, den), "second-links")
+        links = links.unionByName(more)
+        labels, _ = stage(components(links), "labels")
+    # members of one bucket that are in different classes even so
+    named = class_of(rest.select("key", "rep"), "rep")
+    mixed = named.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key")
+    open_ = named.join(mixed, "key", "left_semi").select(F.col("rep").alias("doc_id"), F.col("rep_class").alias("component")).distinct()
+    third, third_path = stage(crossing(rest_sets.join(open_, "doc_id"), num, den).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "cross-pairs")
+    if not third.isEmpty():
+        more, _ = stage(confirmed(third, rest_sets, num, den), "more-links")
         labels, _ = stage(components(links.unionByName(more)), "labels")
     named = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     own = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = docs.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    drop(spark, members_path, first_path, sets_path, links_path, rest_path, rest_sets_path, second_path)
+    drop(spark, members_path, first_path, sets_path, links_path, rest_path, rest_sets_path, second_path, third_path)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

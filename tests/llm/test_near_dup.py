@@ -101,3 +101,58 @@ def test_repeated_rows_meet_across_classes(spark):
     assert {(i, c) for i, _, c in want} == {(1, 1), (2, 2), (3, 2)}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert run(df, k=4, bands=1, rows=1) == want
+
+
+def set_of(numbers):
+    return [int(x) for x in sorted({random.Random(n).getrandbits(63) for n in numbers})]
+
+
+def sets_frame(spark, sets):
+    return spark.createDataFrame([(i, i, s) for i, s in sets], "doc_id long, component long, shingles array<long>")
+
+
+def test_crossing_is_exact(spark):
+    """Every pair at 0.8 or more of random sets of many sizes that share a passage, against all pairs."""
+    rnd, sets = random.Random(5), []
+    for i in range(260):
+        shared, own = rnd.randint(0, 90), rnd.randint(0, 30)
+        sets.append((i, set_of([*range(shared), *(rnd.randint(1000, 1400) if rnd.random() < 0.5 else 10_000 * i + 5000 + j for j in range(own + (shared == 0)))])))
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
+    got = {(r.a, r.b) for r in near_dup.crossing(sets_frame(spark, sets), 80, 100).collect()}
+    assert len(want) > 50 and want <= got and len(got) < 2 * len(want)
+
+
+def test_boilerplate_makes_no_pairs(spark):
+    """20,000 sets that share a passage at 0.75 of their union: a shingle that all of them hold makes no pairs, and the time is in proportion."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    took = {}
+    for n in (5_000, 20_000):
+        shared = F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))
+        own = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.xxhash64("id", j))
+        df = spark.range(1000, 1000 + n).select(F.col("id").alias("doc_id"), F.col("id").alias("component"), F.array_sort(F.concat(F.transform(shared, lambda x: F.xxhash64(x)), own)).alias("shingles"))
+        t = time.time()
+        assert near_dup.crossing(df, 80, 100).count() == 0
+        took[n] = time.time() - t
+    assert took[20_000] < 6 * took[5_000], took
+
+
+def test_a_stranger_as_the_smallest_member(spark):
+    """300 near copies of one text whose buckets all have an unlike document as their smallest member."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = [(1, " ".join(base[:128]) + " " + " ".join(word() for _ in range(40)))]
+    rows += [(100 + i, " ".join(base[:j] + [word()] + base[j + 1 :])) for i, j in enumerate(rnd.choices(range(130, 150), k=300))]
+    want = brute(rows, 4)
+    assert {(i == 1, c) for i, _, c in want} == {(True, 1), (False, 100)}
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), k=4) == want
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[100:])), (3, " ".join(words[:120_000])), (4, "a b c d e")]
+    assert [(i, c) for i, _, c in run(spark.createDataFrame(rows, "doc_id long, text string"), k=5)] == [(1, 1), (2, 1), (3, 3), (4, 4)]
