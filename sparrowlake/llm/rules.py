@@ -8,8 +8,11 @@ inside generated code, without Python.
 
 Nulls: a null text has the statistics of an empty one and gets a score like it. Rows
 without a label or id are not learnt from; without any labels the score is 0.5
-everywhere, and with one class it is that class's smoothed share. Repeated rows score
-alike; a very long text is one row. Columns named as an output or a statistic
+everywhere, and with one class, or so few rows that no condition leaves five of them on
+either side, it is label 1's smoothed share. Repeated labels and documents count each
+time as far as the sample reaches; at its bound the order is by the id's hash, the id,
+the label and the statistics, so ties are equal rows. Repeated rows score alike; a very
+long text is one row. Columns named as an output or a statistic
 (``_s_...``) are replaced, all others carried along; an empty table gives no rows.
 """
 
@@ -24,24 +27,27 @@ from pyspark.sql import functions as F
 from sparrowlake.llm.common import without
 
 SAMPLE_ROWS = 12_000
-STATS = ["log_chars", "log_words", "mean_word", "distinct_words", "digits", "capitals", "symbols", "stops", "commas", "lines", "repeated_lines", "top_line", "wide"]
+STATS = [
+    "log_chars", "log_words", "mean_word", "distinct_words", "digits", "capitals", "symbols", "stops", "commas", "lines", "repeated_lines", "longest_word", "odd_words", "short_words", "wide", "runs", "symbol_ends", "top_line",
+]
 BINS, TREES, DEPTH, RATE = 32, 24, 3, 0.3
 ACCEPT_FROM = 0.5
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one double column ``_s_<name>`` for each of STATS; words are what lies between spaces."""
+    """``df`` with one double column ``_s_<name>`` for each of STATS; words are what lies between ASCII white space, lines have more than that."""
     df = without(df, [f"_s_{s}" for s in STATS] + ["_t", "_w", "_l"])
     t = F.coalesce(F.col(text), F.lit(""))
-    a = df.withColumn("_t", t).withColumn("_w", F.split("_t", " ")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x != ""))
+    a = df.withColumn("_t", t).withColumn("_w", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda x: x != "")).withColumn("_l", F.filter(F.split("_t", r"\n"), lambda x: F.trim(x) != ""))
     chars, words, lines = F.length("_t").cast("double"), F.size("_w").cast("double"), F.size("_l").cast("double")
     per = lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0))
     left = lambda p: F.length(F.regexp_replace("_t", p, "")).cast("double")
+    are = lambda f: F.size(F.filter("_w", f)).cast("double")
     values = {
         "log_chars": F.log1p(chars),
         "log_words": F.log1p(words),
-        "mean_word": (chars - words + 1) / words,
-        "distinct_words": F.size(F.array_distinct("_w")).cast("double") / words,
+        "mean_word": per(F.length(F.array_join("_w", "")).cast("double"), words),
+        "distinct_words": per(F.size(F.array_distinct("_w")).cast("double"), words),
         "digits": per(chars - left("[0-9]+"), chars),
         "capitals": per(chars - left(r"\p{Lu}+"), chars),
         "symbols": per(left(r"[\p{L}\p{N}\s.,;:'\"!?()-]+"), chars),
@@ -49,6 +55,11 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "commas": per(chars - left("[,;:]+"), words),
         "lines": per(lines, words),
         "repeated_lines": per(lines - F.size(F.array_distinct("_l")), lines),
+        "longest_word": F.log1p(F.coalesce(F.array_max(F.transform("_w", F.length)), F.lit(0)).cast("double")),
+        "odd_words": per(are(lambda w: ~w.rlike(r"\p{L}")), words),
+        "short_words": per(are(lambda w: F.length(w) <= 3), words),
+        "runs": per(chars - F.length(F.regexp_replace("_t", r"([^\s])\1{2,}", "$1")), chars),
+        "symbol_ends": per(are(lambda w: w.rlike(r"[^\p{L}\p{N}.,;:'\"!?()-]$")), words),
         "top_line": F.log1p(F.coalesce(F.array_max(F.transform("_l", F.length)), F.lit(0)).cast("double")),
         "wide": per(F.octet_length("_t") - chars, chars),
     }
@@ -135,9 +146,9 @@ def learn(x: np.ndarray, y: np.ndarray) -> Rules:
     """Rules from the statistics of labelled rows; the penalty with the least loss on a fifth that is set aside is taken."""
     prior = (y.sum() + 1) / (len(y) + 2)
     start = float(np.log(prior / (1 - prior)))
-    if len(y) < 20 or y.min() == y.max():
+    paths = _trees(x, y) if len(y) and y.min() < y.max() else []
+    if not paths:  # no labels, one class, or no statistic with five rows on either side that parts the classes
         return Rules(start if len(y) else 0.0, ())
-    paths = _trees(x, y)
     r = np.stack([_holds(x, p) for p in paths], 1).astype(np.float32)
     scale = np.maximum(r.std(0), 1e-3)
     r /= scale

@@ -219,3 +219,54 @@ def test_levels_on_another_file_system(tmp_path, monkeypatch):
     for _ in range(2):
         succinct.save("store://x/lm", "pairs/3", a=np.arange(5), b=np.zeros(0))
     assert succinct.load("store://x/lm", "pairs/3")["a"].tolist() == [0, 1, 2, 3, 4] and (tmp_path / "far/pairs/3").exists() and len(list((tmp_path / "far/pairs").iterdir())) == 1
+
+
+def statistics(t):
+    """The statistics of a text in plain Python."""
+    import regex
+
+    t = t or ""
+    w, lines = t.encode().split(), [x for x in t.split("\n") if x.strip(" ")]
+    w = [x.decode() for x in w]
+    per = lambda x, n: x / n if n else 0.0
+    left = lambda p: len(regex.sub(p, "", t))
+    n, m, k = len(t), len(w), len(lines)
+    return {
+        "log_chars": math.log1p(n), "log_words": math.log1p(m), "mean_word": per(sum(map(len, w)), m), "distinct_words": per(len(set(w)), m), "digits": per(n - left("[0-9]+"), n),
+        "capitals": per(n - left(r"\p{Lu}+"), n), "symbols": per(left(r"[\p{L}\p{N}\t\n\x0b\f\r .,;:'\"!?()-]+"), n), "stops": per(n - left("[.!?]+"), m), "commas": per(n - left("[,;:]+"), m), "lines": per(k, m),
+        "repeated_lines": per(k - len(set(lines)), k), "longest_word": math.log1p(max(map(len, w), default=0)), "odd_words": per(sum(not regex.search(r"\p{L}", x) for x in w), m),
+        "short_words": per(sum(len(x) <= 3 for x in w), m), "wide": per(len(t.encode()) - n, n), "runs": per(n - len(regex.sub(r"([^\t\n\x0b\f\r ])\1{2,}", r"\1", t)), n),
+        "symbol_ends": per(sum(bool(regex.search(r"[^\p{L}\p{N}.,;:'\"!?()-]$", x)) for x in w), m), "top_line": math.log1p(max(map(len, lines), default=0)),
+    }
+
+
+def test_statistics_and_compiled_rules_over_texts(spark, sf):
+    """The columns against plain Python, and op4's scores against the learnt rules applied to those numbers."""
+    odd = [None, "", " ", "\n \n", "aaa  bbbb\t##éÉÉÉ x\x0by\x0cz\r\n1,2;3! 漢\U0001f600$ $", "word " * 30_000]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    learnt = rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(queries.remainder("doc_id", 3) != 1))
+    assert learnt.rules
+    held = rules.with_statistics(rules.classify(docs, learnt)).collect()
+    x = np.array([[statistics(r.text)[s] for s in rules.STATS] for r in held])
+    assert np.allclose(x, [[r[f"_s_{s}"] for s in rules.STATS] for r in held], atol=1e-12)
+    own = 1 / (1 + np.exp(-(learnt.intercept + sum(w * rules._holds(x, c) for c, w in learnt.rules))))
+    assert np.allclose(own, [r.score for r in held]) and [r.predicted for r in held] == [int(s >= 0.5) for s in own]
+
+
+def test_few_labels_are_learnt_from():
+    """Twelve rows that one statistic parts: there is no least number of rows, but five have to be on either side."""
+    x = np.zeros((12, len(rules.STATS)))
+    x[6:, 3] = 1.0
+    y = (np.arange(12) >= 6).astype(float)
+    learnt = rules.learn(x, y)
+    assert learnt.rules and all(j == 3 for c, _ in learnt.rules for j, _, _ in c)
+    assert not rules.learn(x[4:9], y[4:9]).rules
+
+
+def test_pipeline_quality_stage_with_odd_rows(spark, sf):
+    rows = [(None, None, None, None, None), (5, "", "en", "s", 1), (5, "", "en", "s", 1), (6, "x" * 300_000, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    learnt = rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(queries.remainder("doc_id", 3) != 1))
+    got = corpus_pipeline.quality(spark, docs, sf)
+    assert got.columns == corpus_pipeline.COLUMNS and got.count() == rules.classify(docs, learnt).where("predicted = 1").count()
+    assert corpus_pipeline.quality(spark, docs.limit(0), sf).count() == 0
