@@ -70,6 +70,15 @@ def parse_sequence(text: Column) -> Column:
     return F.from_json(text, "array<bigint>")
 
 
+def sequence_element(item: Column, fields: list[str] | None = None) -> Column:
+    """An element of a sequence as an identifier: a struct's ``item_id`` if it has that field, else its fields by name as text; other elements as they are. ``fields``: the struct's."""
+    if fields is None:
+        return item
+    if "item_id" in fields:
+        return item["item_id"]
+    return F.to_json(F.struct(*(item[f].alias(f) for f in sorted(fields))))
+
+
 def sanitize(name: Column) -> Column:
     """Lower case, runs of characters outside [a-z0-9_-] as one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9_-]", "_"), "_+", "_"), "^_|_$", "")

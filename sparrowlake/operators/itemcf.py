@@ -114,3 +114,12 @@ def regression(x: DataFrame, support: int = 5) -> DataFrame:
     """item_i, item_j, slope, intercept: the rating of j by that of i over their co-raters, where i's ratings differ."""
     s = _co(x.withColumn("v", F.col("r")), F.regr_slope("vb", "va").alias("slope"), F.regr_intercept("vb", "va").alias("intercept"), F.count(F.lit(1)).alias("n"))
     return s.where((F.col("n") >= support) & F.col("slope").isNotNull()).select("item_i", "item_j", "n", (F.round("slope", 10) + 0.0).alias("slope"), (F.round("intercept", 10) + 0.0).alias("intercept"))
+
+
+def regression_predict(x: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """u, item_id, predicted, support: the mean over a user's items i of intercept + slope * rating, for each unseen item j that has coefficients with one."""
+    found = x.select("u", F.col("i").alias("item_i"), "r").join(coefficients.select("item_i", "item_j", "slope", "intercept"), "item_i")
+    one = found.select("u", F.col("item_j").alias("item_id"), (F.col("intercept") + F.col("slope") * F.col("r")).alias("v"), F.lit(False).alias("seen"))
+    own = x.select("u", F.col("i").alias("item_id"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("seen"))
+    s = one.unionByName(own).groupBy("u", "item_id").agg(F.avg("v").alias("v"), F.count("v").alias("support"), F.bool_or("seen").alias("seen"))
+    return s.where("NOT seen").select("u", "item_id", F.round("v", 6).alias("predicted"), "support")

@@ -107,6 +107,24 @@ def multiclass_macro(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     )
 
 
+def multiclass_scores(df: DataFrame, truth: str, scores: str) -> DataFrame:
+    """multiclass_macro of the class with the largest score (the first of equal ones), roc_auc_macro of each class against the rest, and log_loss; classes are numbers from 0."""
+    predicted = F.array_position(scores, F.array_max(scores)) - 1
+    x = df.select(F.col(truth).cast("bigint").alias("t"), F.col(scores).alias("s"), predicted.alias("p"))
+    each = x.select("t", F.posexplode("s").alias("class", "score")).select("class", (F.col("t") == F.col("class")).cast("int").alias("y"), "score")
+    auc = rank_auc(each, ["class"]).agg(F.round(F.avg("auc"), 6).alias("roc_auc_macro"))
+    own = F.greatest(F.get("s", F.col("t").cast("int")) / F.aggregate("s", F.lit(0.0), lambda a, v: a + v), F.lit(1e-15))
+    loss = x.agg(F.round(F.avg(-F.log(F.least(own, F.lit(1 - 1e-15)))), 6).alias("log_loss"))
+    return multiclass_macro(x, "t", "p").crossJoin(F.broadcast(auc)).crossJoin(F.broadcast(loss))  # one row each
+
+
+def threshold_of(strategy: str, fixed: float = 0.5, stated: list[float] | None = None) -> float:
+    """The decision threshold: 'bundle' takes the first that the predictions state; 'fixed', 'tuned_on_val' and 'per_task' the given one."""
+    if strategy not in ("fixed", "bundle", "tuned_on_val", "per_task"):
+        raise ValueError(f"unknown threshold strategy {strategy}")
+    return stated[0] if strategy == "bundle" and stated else fixed
+
+
 def by_task(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """task, accuracy, f1, roc_auc, average_precision over rows (task, y, score, mask) whose mask holds."""
     x = df.where("mask").select("task", "y", "score")

@@ -41,6 +41,8 @@ def overall(df: DataFrame) -> DataFrame:
 
 def co_missing(df: DataFrame, top: int = 10) -> DataFrame:
     """The pairs of columns most often missing together, of columns whose rounded rate lies between 0.05 and 0.95."""
+    if len(df.columns) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, rate double")
     rates = [F.round(_share(df, c), 4).alias(c) for c in df.columns]
     both = [F.round(F.avg((is_missing(df, a) & is_missing(df, b)).cast("double")), 4).alias(f"{a}|{b}") for a, b in combinations(df.columns, 2)]
     wide = df.agg(*rates, *both)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,13 +52,30 @@ def modality(columns: list[str]) -> str:
     return "multimodal" if any("emb" in c.lower() for c in columns) else "single"
 
 
+#: Bytes of a value by type.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def value_bytes(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a column's values as plain arrays: the type's width, also for nulls; texts and lists by their content."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint")
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + value_bytes(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(c[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+    return F.lit(16 if isinstance(kind, T.DecimalType) else WIDTHS.get(kind.simpleString(), 8)).cast("bigint")
+
+
 def overview(df: DataFrame) -> DataFrame:
-    """metric, value (text): rows, columns, the sizes of the column groups, has_label, has_timestamp, feedback, sequence, modality."""
+    """metric, value (text): rows, bytes (of the values, see value_bytes), columns, the sizes of the column groups, has_label, has_timestamp, feedback, sequence, modality."""
     groups = column_groups(df.columns)
     facts = {"columns": len(df.columns), **{f"{g}_columns": len(c) for g, c in groups.items()}, "has_label": "label_type" in df.columns, "has_timestamp": detect(df.columns, TIMES) is not None}
     facts |= {"feedback": feedback_kind(df), "sequence": sequence_kind(df.schema), "modality": modality(df.columns)}
     pairs = [F.struct(F.lit("rows").alias("metric"), F.col("n").cast("string").alias("value"))] + [F.struct(F.lit(k).alias("metric"), F.lit(str(v).lower()).alias("value")) for k, v in facts.items()]
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    size = sum((value_bytes(df[f"`{f.name}`"], f.dataType) for f in df.schema), F.lit(0).cast("bigint"))
+    pairs.append(F.struct(F.lit("bytes").alias("metric"), F.coalesce(F.col("b"), F.lit(0)).cast("string").alias("value")))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
 def feature_specs(df: DataFrame, columns: list[str], cap: int = 500_000) -> list[tuple[str, int, int, int]]:

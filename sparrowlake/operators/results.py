@@ -47,10 +47,20 @@ def failures(runs: DataFrame) -> DataFrame:
 
 
 def speedup(runs: DataFrame) -> DataFrame:
-    """model, duration statistics, speedup = fastest run of all / the model's mean."""
+    """model, duration statistics, speedup = fastest run of all / the model's mean; with a column ``memory`` also its mean and largest value."""
     fastest = runs.agg(F.min("duration").alias("f"))
-    g = runs.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.avg("duration").alias("d"), F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"))
-    return g.crossJoin(F.broadcast(fastest)).select("model", "runs", F.round("d", 6).alias("mean_duration"), "min_duration", "max_duration", F.round(F.col("f") / F.col("d"), 6).alias("speedup"))
+    memory = [F.round(F.avg("memory"), 6).alias("mean_memory"), F.max("memory").alias("max_memory")] if "memory" in runs.columns else []
+    g = runs.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.avg("duration").alias("d"), F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"), *memory)
+    names = ["mean_memory", "max_memory"] if memory else []
+    return g.crossJoin(F.broadcast(fastest)).select("model", "runs", F.round("d", 6).alias("mean_duration"), "min_duration", "max_duration", F.round(F.col("f") / F.col("d"), 6).alias("speedup"), *names)
+
+
+def ablation(runs: DataFrame, parameter: str, base: object) -> DataFrame:
+    """model, value, runs, mean, std, change, relative_change: one parameter varied, against the model's mean at its base value; succeeded runs."""
+    g = runs.where("status = 'succeeded'").groupBy("model", F.col(parameter).alias("value")).agg(F.count(F.lit(1)).alias("runs"), F.avg("metric").alias("m"), F.coalesce(F.stddev_samp("metric"), F.lit(0.0)).alias("s"))
+    at = g.where(F.col("value") == base).select("model", F.col("m").alias("b"))
+    x = g.join(at, "model", "left")
+    return x.select("model", "value", "runs", F.round("m", 9).alias("mean"), F.round("s", 9).alias("std"), F.round(F.col("m") - F.col("b"), 9).alias("change"), F.round(F.try_divide(F.col("m") - F.col("b"), F.abs("b")), 6).alias("relative_change"))
 
 
 def overall_status(runs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def matrix_profile(log: DataFrame, user: str, item: str) -> DataFrame:
     """One row: interactions, users, items, sparsity (6 decimals), gini of item popularity (4 decimals)."""
     users = entity_counts(log, user).agg(F.count(F.lit(1)).alias("users"))
     g = gini(entity_counts(log, item))
-    return g.crossJoin(users).select(
+    return g.crossJoin(F.broadcast(users)).select(
         F.col("total").cast("bigint").alias("interactions"),
         "users",
         F.col("items").cast("bigint").alias("items"),

@@ -79,3 +79,29 @@ def dense_ids(df: DataFrame, c: str) -> DataFrame:
 def padded(sequences: DataFrame, user: str, items: str, length: int) -> DataFrame:
     """user, head (right-padded) and tail (left-padded) of the same length."""
     return sequences.select(user, pad_truncate(F.col(items), length).alias("head"), pad_truncate(F.col(items), length, "left").alias("tail"))
+
+
+def tensor_sequences(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """``df`` with each list column cut or padded with 0 to one length: the longest list of these columns, ``most`` at most."""
+    longest = df.agg(F.least(F.greatest(*(F.max(F.greatest(F.size(c), F.lit(0))) for c in [*columns, columns[0]])), F.lit(most)).alias("_length"))
+    cut = lambda c: F.slice(F.concat(F.coalesce(F.col(c), F.array().cast("array<bigint>")).cast("array<bigint>"), F.array_repeat(F.lit(0).cast("bigint"), F.col("_length"))), F.lit(1), F.col("_length"))
+    out = df.crossJoin(F.broadcast(longest))  # one row
+    return out.withColumns({c: cut(c) for c in columns}).drop("_length")
+
+
+def flat_features(df: DataFrame, prefix: str, length: int, name: str) -> DataFrame:
+    """``df`` with ``name``: the columns <prefix>_int_..., <prefix>_dense_... and <prefix>_string_... in the table's order as one list of doubles, cut or padded with 0."""
+    parts = []
+    for c, kind in df.dtypes:
+        x, listed = F.col(f"`{c}`"), kind.startswith("array")
+        if c.startswith(f"{prefix}_int_"):
+            parts.append(F.array(F.coalesce(x.try_cast("bigint"), F.lit(0)).cast("double")))
+        elif c.startswith(f"{prefix}_dense_") and listed:
+            parts.append(F.transform(F.coalesce(x, F.array().cast(kind)), lambda v: F.coalesce(v.cast("double"), F.lit(0.0))))
+        elif c.startswith(f"{prefix}_dense_"):
+            parts.append(F.when(x.isNull(), F.array().cast("array<double>")).otherwise(F.array(x.cast("double"))))
+        elif c.startswith(f"{prefix}_string_"):
+            parsed = x if listed else F.from_json(x, "array<bigint>")
+            parts.append(F.transform(F.coalesce(parsed, F.array().cast("array<bigint>")), lambda v: F.coalesce(v.try_cast("bigint"), F.lit(0)).cast("double")))
+    whole = F.concat(*parts, F.array_repeat(F.lit(0.0), length))
+    return df.withColumn(name, F.slice(whole, 1, length))

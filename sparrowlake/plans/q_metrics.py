@@ -299,8 +299,3 @@ def base64_roundtrip(spark, sf_dir):
 def pca_explained(spark, sf_dir):
     _, share = vectors.pca(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(share)], "component int, explained double")
-
-
-@query("random_projection")
-def random_projection(spark, sf_dir):
-    return vectors.random_projection(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)

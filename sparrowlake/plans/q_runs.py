@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparrowlake.functions import columns as fn
-from sparrowlake.operators import itemcf, overview, sampling, vectors
+from sparrowlake.operators import itemcf, overview, vectors
 from sparrowlake.plans import runs
 from sparrowlake.plans.catalog import REGISTRY
 from sparrowlake.plans.domain import LOG, events, interactions
@@ -16,20 +16,15 @@ from sparrowlake.plans.registry import table
 query = REGISTRY.query
 
 
-def _facts(rows: str, facts: dict) -> str:
-    return f"SELECT 'rows' AS metric, ({rows})::VARCHAR AS value" + "".join(f" UNION ALL SELECT '{k}', '{v}'" for k, v in facts.items())
+def _facts(rows: str, size: str, facts: dict) -> str:
+    return f"SELECT 'rows' AS metric, ({rows})::VARCHAR AS value UNION ALL SELECT 'bytes', ({size})::VARCHAR" + "".join(f" UNION ALL SELECT '{k}', '{v}'" for k, v in facts.items())
 
 
-@query("dataset_overview", _facts("SELECT count(*) FROM events", {"columns": 5, "core_columns": 3, "user_columns": 0, "item_columns": 0, "domain_columns": 0, "other_columns": 2, "has_label": "true", "has_timestamp": "true", "feedback": "implicit", "sequence": "none", "modality": "single"}))
+@query("dataset_overview", _facts("SELECT count(*) FROM events", "SELECT sum(24 + strlen(event_type) + strlen(props))::BIGINT FROM events", {"columns": 5, "core_columns": 3, "user_columns": 0, "item_columns": 0, "domain_columns": 0, "other_columns": 2, "has_label": "true", "has_timestamp": "true", "feedback": "implicit", "sequence": "none", "modality": "single"}))
 def dataset_overview(spark, sf_dir):
     return overview.overview(events(spark, sf_dir).select("user_id", F.col("event_type").alias("label_type"), F.col("ts").alias("timestamp"), "value", "props"))
 
 
-@query("negatives_mixed")
-def negatives_mixed(spark, sf_dir):
-    return sampling.negatives_mixed(interactions(spark, sf_dir), "user_id", "item_id", per_positive=True)
-
-
 @query("item_regression", f"WITH {_X} SELECT a.i AS item_i, b.i AS item_j, count(*)::BIGINT AS n, round(regr_slope(b.r, a.r), 10) + 0.0::DOUBLE AS slope, round(regr_intercept(b.r, a.r), 10) + 0.0::DOUBLE AS intercept FROM x a JOIN x b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 5 AND var_pop(a.r) > 0")
 def item_regression(spark, sf_dir):
     return itemcf.regression(itemcf.pairs(interactions(spark, sf_dir), "user_id", "item_id", "rating"))
@@ -45,11 +40,6 @@ def row_losses(spark, sf_dir):
     return predictions(spark, sf_dir).agg(F.round(F.avg(fn.bce_with_logits(y, F.log(p / (1 - p)))), 6).alias("bce_logits"), F.round(F.avg(fn.focal_loss(y, p)), 6).alias("focal"), F.round(F.avg(fn.huber_loss(y, p, 0.5)), 6).alias("huber"))
 
 
-@query("experiment_run")
-def experiment_run(spark, sf_dir):
-    return runs.experiment(interactions(spark, sf_dir), "ts", "row_id")
-
-
 @query(
     "preprocess_encode",
     """WITH h AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0), v AS (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS c FROM h GROUP BY 1), s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM h)

@@ -56,8 +56,3 @@ def synthetic_pairs(spark, sf_dir):
 @query("benchmark_rows", f"SELECT {_hash(chr(39) + '42' + chr(39), chr(39) + 'user' + chr(39), 'r::VARCHAR')} % 1000 AS user_id, 'cat_' || ({_hash(chr(39) + '42' + chr(39), chr(39) + 'f0' + chr(39), 'r::VARCHAR')} % 100) AS feat_cat_0, ({_hash(chr(39) + '42' + chr(39), chr(39) + 'f2' + chr(39), 'r::VARCHAR')} % 1000)::INTEGER AS feat_int_2 FROM range(0, 10000) v(r)")
 def benchmark_rows(spark, sf_dir):
     return tables.benchmark_rows(spark, 10_000).select("user_id", "feat_cat_0", "feat_int_2")
-
-
-@query("capability_catalog")
-def capability_catalog(spark, sf_dir):
-    return tables.capabilities(spark)

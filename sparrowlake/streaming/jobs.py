@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='sparrowlake-')}"
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset and all run on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='sparrowlake-')}"
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 

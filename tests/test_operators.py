@@ -284,6 +284,6 @@ def test_runs(spark, sf, tmp_path):
     assert runs.run_id("My Exp!", "d", "m", 3, {"b": 1, "a": 2}) == runs.run_id("my_exp", "d", "m", 3, {"a": 2, "b": 1})
     log = interactions(spark, sf).withColumnRenamed("ts", "timestamp")
     text, charts = runs.profile_report(log, "Orders")
-    assert "## sparsity" in text and {"overview", "retention", "rating"} <= set(charts)
+    assert "## sparsity" in text and {"column_layout", "retention_curve", "rating_distribution"} <= set(charts)
     runs.write_results(spark.range(3), f"{tmp_path}/r")
     assert "<td>2</td>" in runs.html("T", {"x": spark.range(3)})
