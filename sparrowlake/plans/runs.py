@@ -172,3 +172,24 @@ def html(title: str, frames: dict[str, DataFrame], most: int = 200) -> str:
         body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
         out.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>" + (f"<p>The first {most} rows; the table has more.</p>" if more else ""))
     return "".join(out)
+
+
+def index_page(title: str, reports: dict[str, str]) -> str:
+    """A page of links to reports: title to relative path, newest name first."""
+    from html import escape
+
+    links = "".join(f'<li><a href="{escape(path, quote=True)}">{escape(name)}</a></li>' for name, path in sorted(reports.items(), reverse=True))
+    return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><ul>{links}</ul>"
+
+
+def find_reports(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".html", ".md")) -> dict[str, str]:
+    """Reports in the folders below ``folder``, on any file system: their paths below it without the suffix, and their paths."""
+    hadoop, out = spark.sparkContext._jvm.org.apache.hadoop.fs, {}
+    at = hadoop.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, files = fs.resolvePath(at).toUri().getPath().rstrip("/"), fs.listFiles(at, True)
+    while files.hasNext():
+        path = files.next().getPath().toUri().getPath()[len(root) + 1 :]
+        if path.endswith(suffixes) and path.rsplit("/", 1)[-1] != "index.html":
+            out[path.rsplit(".", 1)[0]] = path
+    return out

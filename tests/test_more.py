@@ -165,3 +165,35 @@ def test_losses_by_hand(spark):
         losses.info_nce(F.array(F.lit(1.0)), F.array(F.lit(2.0)), F.lit(None).cast("array<array<double>>")).alias("alone"), losses.sigmoid_focal_loss(F.lit(1.0), F.lit(0.0)).alias("focal"),
     ).first()
     assert r.ce == pytest.approx(2 + math.log1p(math.exp(-2))) and r.nce == pytest.approx(math.log1p(math.exp(-1 / 0.07))) and r.alone == pytest.approx(0) and r.focal == pytest.approx(0.25 * 0.25 * math.log(2))
+
+
+def test_capabilities_and_adapters(spark, tmp_path):
+    from sparrowlake.plans import interfaces
+
+    class Small(interfaces.Dataset):
+        def tables(self, spark):
+            return {"note": 1, "train": spark.range(100).select((F.col("id") % 10).alias("user_id"), (F.col("id") * 7 % 9).alias("item_id"), "id")}
+
+        def split(self, rows):
+            return splits.random(rows, "id")
+
+    parts = Small().parts(spark)
+    assert {n: p.count() for n, p in parts.items()} == {"train": 80, "val": 10, "test": 10}
+    model = interfaces.ItemModel().fit(parts["train"])
+    assert interfaces.capabilities(model) == ["trainable", "ranker", "top_items", "stored"]
+    model.save(str(tmp_path / "m"))
+    again = interfaces.ItemModel().load(spark, str(tmp_path / "m"))
+    users = spark.createDataFrame([(1,), (2,)], "u long")
+    got = model.top_items(users, 3).collect()
+    assert sorted(got) == sorted(again.top_items(users, 3).collect()) and {r.u for r in got} <= {1, 2}
+    ranked = again.rank(spark.createDataFrame([(1, 0), (1, 99)], "group_id long, candidate_id long")).collect()
+    assert {r.candidate_id: r.score > 0 for r in ranked} == {0: True, 99: False}
+
+
+def test_index_of_reports(spark, tmp_path):
+    for name in ("a/one.html", "b/two.md", "index.html", "b/x.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = runs.find_reports(spark, str(tmp_path))
+    assert found == {"a/one": "a/one.html", "b/two": "b/two.md"}
+    assert runs.index_page("R & D", found).count("<li>") == 2 and "R &amp; D" in runs.index_page("R & D", {})
