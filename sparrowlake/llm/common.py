@@ -17,9 +17,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset and all run on one machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sparrowlake-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,9 +35,16 @@ def stage(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared folder and read it again: later work starts from files that outlive any executor."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    expire(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def expire(spark: SparkSession, path: str) -> None:
+    """Remove what a lazy result may still read when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove stage tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -90,7 +99,7 @@ def raw(texts: pa.Array) -> list[bytes]:
 class Memo(dict):
     """Hash of a word, kept for the words seen last; ``trim`` bounds its memory."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)

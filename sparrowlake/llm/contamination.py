@@ -12,9 +12,10 @@ probability exp(-EXPECTED) at most. The minima are looked up in an index of the
 shingles, and each candidate is confirmed by counting the item's shingles in the
 document's full set.
 
-The index is broadcast in blocks of items of at most ``BLOCK_SHINGLES`` shingles in the
-mean (32 MB); a larger benchmark takes more passes over the documents, none of which
-shuffles a text.
+The index is broadcast in blocks of items of ``BLOCK_SHINGLES`` shingles (32 MB): items are
+dealt to buckets by hash, and buckets are put together up to that bound by their measured
+sizes. A larger benchmark takes a pass over the documents for each block, and each pass is
+written before the next begins, so a worker holds one block at a time; none shuffles a text.
 
 Sets: A-Z in lower case, words between ASCII white space, k-word shingles; a text with
 fewer than k words has its whole sequence as its one shingle, so a short item is found
@@ -30,11 +31,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowlake.llm.common import U64, Memo, add_columns, mix64, raw, shingles, stage, word_hashes
+from sparrowlake.llm.common import U64, Memo, add_columns, drop, mix64, raw, shingles, stage, word_hashes
 from sparrowlake.llm.near_dup import shingle_sets
 
 EXPECTED = 20
@@ -123,11 +124,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     """``docs`` with ``leaks``: the items that each text contains, as structs (item_id, common, shingles) by item_id."""
     spark = docs.sparkSession
     items, _ = stage(item_sets(benchmark, item_id, item_text, k), "items")
-    total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    parts = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == b).select("item_id", "set", "words").toArrow().combine_chunks()
+    blocks, buckets = _blocks(items)
+    parts, written = [], None
+    for b, block in enumerate(blocks):
+        rows = items.where(_bucket(buckets).isin(block)).select("item_id", "set", "words").toArrow().combine_chunks()
         ids, sets, short = rows["item_id"].to_pylist(), [np.array(x, np.int64).view(U64) for x in rows["set"].to_pylist()], {}
         for i, x, n in zip(ids, sets, rows["words"].to_pylist()):
             if short_inside and n < k:
@@ -145,9 +145,34 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 
             return lambda texts: [pa.array([[{"item_id": i, "common": c, "shingles": n} for i, c, n in x] for x in found(texts)], T_LEAK)]
 
-        parts.append(f"_leaks{b}" if blocks > 1 else "leaks")
+        parts.append(f"_leaks{b}" if len(blocks) > 1 else "leaks")
         docs = add_columns(docs, text, [T.StructField(parts[-1], LEAK)], make)
-    return docs if blocks == 1 else docs.withColumn("leaks", F.array_sort(F.concat(*parts))).drop(*parts)
+        if len(blocks) > 1:
+            docs, path = stage(docs, f"pass-{b}")
+            index.unpersist()
+            if written:
+                drop(spark, written)
+            written = path
+    return docs if len(blocks) == 1 else docs.withColumn("leaks", F.array_sort(F.concat(*parts))).drop(*parts)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "set"), F.lit(buckets))
+
+
+def _blocks(items: DataFrame) -> tuple[list[list[int]], int]:
+    """Buckets of items in lists of at most BLOCK_SHINGLES shingles (a bucket beyond that stands alone), and how many buckets there are."""
+    total, n = items.agg(F.sum("n"), F.count(F.lit(1))).first()
+    buckets = min(8 * -(-(total or 0) // BLOCK_SHINGLES), 2 * n) or 1
+    size = {r.bucket: r["size"] for r in items.groupBy(_bucket(buckets).alias("bucket")).agg(F.sum("n").alias("size")).collect()}  # eight rows a block
+    out, held = [[]], 0
+    for i in range(buckets):
+        if held and held + size.get(i, 0) > BLOCK_SHINGLES:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += size.get(i, 0)
+    return out, buckets
 
 
 T_LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.int32()), ("shingles", pa.int32())]))

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowlake.llm import succinct
-from sparrowlake.llm.common import U64, Memo, add_columns, drop, new_path, raw, slices, word_hashes
+from sparrowlake.llm.common import U64, Memo, add_columns, drop, expire, new_path, raw, slices, word_hashes
 from sparrowlake.llm.succinct import EliasFano
 
 #: The end of a text as a word; a word has no space.
@@ -369,6 +369,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         weight.setdefault(r.context, []).append((r.shard, r.back))
     model.split = {c: sum(g for _, g in sorted(x)) for c, x in sorted(weight.items())}
     drop(spark, f"{folder}/counts")
+    expire(spark, folder)
     return model
 
 

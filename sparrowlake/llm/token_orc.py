@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowlake.llm import bpe
-from sparrowlake.llm.common import new_path, slices
+from sparrowlake.llm.common import expire, new_path, slices
 
 #: Punctuation that is a pre-token of its own after a letter and before a space.
 ENDS = ".,;:!?"
@@ -127,4 +127,5 @@ def round_trip(df: DataFrame, tokenizer: str) -> DataFrame:
     """Write the files into the shared folder and read them back."""
     path = new_path(df.sparkSession, "token-orc")
     write(df, path, tokenizer)
+    expire(df.sparkSession, path)
     return read(df.sparkSession, path, df.schema["doc_id"].dataType)
