@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cosine: hierarchical k-means tree, best-bin-first search.
 
-``fit`` builds the tree on a bounded sample (``SAMPLE_ROWS``, a parameter): a node of
-unit vectors is split by spherical k-means into ``BRANCH`` children until it is small.
-It then calibrates the search: for held queries of the sample it ranks the leaves as
+``fit`` builds the tree on a bounded sample: a node of unit vectors is split by spherical
+k-means into ``BRANCH`` children until it is small. The sample has 64 sqrt(N) of the N
+rows, ``SAMPLE_ROWS[0]`` at least and ``SAMPLE_ROWS[1]`` at most, so the leaves grow with the
+table, and a leaf's rows no faster than its square root up to that bound. It then calibrates the search: for held queries of the sample it ranks the leaves as
 the traversal would visit them, and takes the least number of leaf visits that finds
 the target share of the true neighbours. ``search`` indexes every row by its leaf,
 walks the tree for each query with a priority queue of nodes by their distance, visits
@@ -15,8 +16,8 @@ than ``CHUNK`` vectors and ``BLOCK`` queries, however hot a leaf is; each task r
 rows a query. Nearness is the cosine in double precision of the original vectors; rows
 at equal nearness go by the smaller id.
 
-Nulls: vectors that are null, zero, of another length than the sample's, or hold null
-or non-finite components take no part, as query or candidate, nor do rows without an
+Nulls: vectors that are null, zero, of another length than the sample's (its commonest one, the smallest of several), or
+hold null or non-finite components take no part, as query or candidate, nor do rows without an
 id. Repeated rows are candidates each, except the query's own id. As queries, repeated
 rows of one id and vector are one; an id with several vectors is a query for each, ranked
 by itself. With fewer than k
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from sparrowlake.llm.common import stage
 
-SAMPLE_ROWS, BRANCH, LEAF_ROWS, TARGET = 16_384, 8, 64, 0.97
-CHUNK, BLOCK = 4096, 1024
+SAMPLE_ROWS, BRANCH, LEAF_ROWS, TARGET = (16_384, 262_144), 8, 64, 0.97
+CHUNK, BLOCK, STEP = 4096, 16_384, 512
 
 
 @dataclass
@@ -149,9 +150,41 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return top * np.sqrt(((x / top[:, None]) ** 2).sum(1))
 
 
-def fit(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, sample_rows: int = SAMPLE_ROWS, target: float = TARGET) -> tuple[Tree | None, int]:
+def _first_of_equal(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their vectors; of equal vectors those of the first k + 1 ids, k of each id: what is left is no query's near row."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    seen: dict[bytes, tuple[int, int, int]] = {}  # the last id, how many ids, how many rows of the last id
+    keep = []
+    for i, v in enumerate(x):
+        key = v.tobytes()
+        last, n, rows = seen.get(key, (None, 0, 0))
+        n, rows = (n, rows + 1) if last == ids[i] else (n + 1, 1)
+        seen[key] = ids[i], n, rows
+        if n <= k + 1 and rows <= k:
+            keep.append(i)
+    return ids[keep], x[keep]
+
+
+def _best(u: np.ndarray, ids: np.ndarray, qs: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, vector's row, score) of the k nearest unit vectors of each query, less its own id; equal scores by the smaller id."""
+    rough = qs @ u.T
+    rough[query[:, None] == ids[None, :]] = -2
+    cut = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(qs), -2.0)
+    row, at = np.nonzero((rough >= cut[:, None] - 1e-9) & (rough > -1.5))
+    score = (u[at] * qs[row]).sum(1)  # row by row in one order, so equal vectors score equally
+    order = np.lexsort((ids[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    first = np.searchsorted(row, row)
+    top = np.arange(len(row)) - first < k
+    return row[top], at[top], score[top]
+
+
+def fit(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, sample_rows: tuple[int, int] = SAMPLE_ROWS, target: float = TARGET) -> tuple[Tree | None, int]:
     """The calibrated tree and the vectors' length; (None, 0) if no vector takes part."""
-    picked = rows_of(df, vec_id, vector).orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(sample_rows).toPandas()
+    rows = rows_of(df, vec_id, vector)
+    wanted = min(max(int(64 * rows.count() ** 0.5), sample_rows[0]), sample_rows[1])
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(wanted).toPandas()
     if not len(picked):
         return None, 0
     size = picked["v"].map(len)
@@ -206,20 +239,14 @@ def search(df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str =
     right = visits.join(F.broadcast(plan), "leaf").withColumn("block", part("query_id", "blocks")).withColumn("chunk", upto("chunks")).select("leaf", "chunk", "block", "query_id", "q", "vector")
 
     def nearest(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        ids, found = vectors["vec_id"].to_numpy(), []
-        if not len(ids) or not len(asked):
+        if not len(vectors) or not len(asked):
             return pd.DataFrame({"query_id": [], "vector": [], "vec_id": [], "score": []})
-        x, qs = matrix(vectors["v"]), matrix(asked["q"])
-        norm, q_norm = _norms(x), _norms(qs)
-        u = x / norm[:, None]
-        rough = (qs / q_norm[:, None]) @ u.T
-        for q, q_n, query, vector, near in zip(qs, q_norm, asked["query_id"].to_numpy(), asked["vector"].to_numpy(), rough):
-            near[ids == query] = -2
-            cut = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -2
-            at = np.flatnonzero((near >= cut - 1e-9) & (near > -1.5))
-            exact = (u[at] * (q / q_n)).sum(1)  # row by row in one order, so equal vectors score equally
-            at = at[np.lexsort((ids[at], -exact))[:k]]
-            found.append(pd.DataFrame({"query_id": query, "vector": vector, "vec_id": ids[at], "score": (u[at] * (q / q_n)).sum(1)}))
+        ids, x = _first_of_equal(vectors["vec_id"].to_numpy(), matrix(vectors["v"]), k)
+        u, qs = units(x), units(matrix(asked["q"]))
+        query, found = asked["query_id"].to_numpy(), []
+        for i in range(0, len(qs), STEP):
+            row, at, score = _best(u, ids, qs[i : i + STEP], query[i : i + STEP], k)
+            found.append(pd.DataFrame({"query_id": query[i + row], "vector": asked["vector"].to_numpy()[i + row], "vec_id": ids[at], "score": score}))
         return pd.concat(found)
 
     near = left.groupBy("leaf", "chunk", "block").cogroup(right.groupBy("leaf", "chunk", "block")).applyInPandas(nearest, "query_id long, vector long, vec_id long, score double")
