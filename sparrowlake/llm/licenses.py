@@ -18,6 +18,8 @@ are chosen by a pattern that the sequence cannot lack, and the windows are those
 hold a place of the sequence. Where it is part of a template's whole text, as 'MIT
 License' is of 'Released under the MIT License.', it is the template's alone.
 
+The templates, notices and anchors are parameters; those of the module are a start.
+
 Words are runs of a-z and 0-9 after lowering A-Z, so punctuation and line ends do not
 matter. Nulls and empty texts have no license; texts of fewer than 5 words can only hold
 a notice. Repeated rows are reported each. A very long text makes windows in
@@ -45,6 +47,10 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
@@ -63,24 +69,26 @@ def plain_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.translate({c: c + 32 for c in range(65, 91)}))
 
 
-def plan() -> list[tuple[int, int, list[str]]]:
+def plan(texts: dict[str, str] = TEMPLATES, anchors: tuple[str, ...] = ANCHORS) -> list[tuple[int, int, list[str]]]:
     """(longest template's words, bands, templates) of each length group in use; raises if a template could be found without an anchor."""
-    out = []
-    for low, up in zip((0, *GROUPS), GROUPS):
-        names = [n for n, t in TEMPLATES.items() if low < len(plain_words(t)) <= up]
+    out, groups = [], [*GROUPS]
+    while groups[-1] < max(len(plain_words(t)) for t in texts.values()):
+        groups.append(groups[-1] * 3 // 2)
+    for low, up in zip((0, *groups), groups):
+        names = [n for n, t in texts.items() if low < len(plain_words(t)) <= up]
         least = 1.0
         for n in names:
-            w = plain_words(TEMPLATES[n])
+            w = plain_words(texts[n])
             grams = {tuple(w[i : i + K]) for i in range(len(w) - K + 1)}
-            held = sum(any(a in x for x in g for a in ANCHORS) for g in grams)
+            held = sum(any(a in x for x in g for a in anchors) for g in grams)
             if not grams or held * 100 <= 20 * len(grams):
                 raise ValueError(f"template {n} needs an anchor in more of its shingles")
             need = -(-80 * len(grams) // 100)
             least = min(least, need / (2 * up - K + 1 + len(grams) - need))
         if names:
             out.append((up, math.ceil(math.log(MISS) / math.log(1 - least)), names))
-    if sum(len(n) for _, _, n in out) != len(TEMPLATES):
-        raise ValueError("a template is too short or too long")
+    if any(len(plain_words(t)) < K for t in texts.values()):
+        raise ValueError("a template is too short")
     return out
 
 
@@ -99,21 +107,22 @@ def _bands(shingles: Column, group: int, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.xxhash64(F.lit(group), b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """name, group, its shingles and bands: a few rows that the module states."""
-    rows = [F.struct(F.lit(n).alias("license"), F.lit(up).alias("grp"), F.lit(b).alias("b"), F.lit(TEMPLATES[n]).alias("t")) for up, b, names in plan() for n in names]
+def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
+    """name, group, its shingles and bands: rows that the driver states."""
+    groups = plan(texts, anchors)
+    rows = [F.struct(F.lit(n).alias("license"), F.lit(up).alias("grp"), F.lit(b).alias("b"), F.lit(texts[n]).alias("t")) for up, b, names in groups for n in names]
     t = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*").withColumn("template", _shingles(_words(F.col("t"))))
-    parts = [t.where(F.col("grp") == up).withColumn("band", F.explode(_bands(F.col("template"), up, b))) for up, b, _ in plan()]
+    parts = [t.where(F.col("grp") == up).withColumn("band", F.explode(_bands(F.col("template"), up, b))) for up, b, _ in groups]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("license", "grp", "template", "band")
 
 
-def notices(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``scan`` for NOTICES, over windows of 2 (K - 1) words that begin every K - 1 words."""
+def notices(df: DataFrame, doc_id: str, text: str, short: dict[str, str] = NOTICES, texts: dict[str, str] = TEMPLATES) -> DataFrame:
+    """The rows of ``scan`` for short notices, over windows of 2 (K - 1) words that begin every K - 1 words."""
     up, out = K - 1, None
-    seqs = {n: plain_words(t) for n, t in NOTICES.items()}
+    seqs = {n: plain_words(t) for n, t in short.items()}
     if any(not 0 < len(q) <= up for q in seqs.values()):
         raise ValueError("a notice is too short or too long")
     pattern = "(?i)" + "|".join("[^a-z0-9]+".join(q) for q in seqs.values())
@@ -126,7 +135,7 @@ def notices(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         return (i >= 0) & (F.slice("w", F.greatest(i + 1, F.lit(1)), F.lit(len(q))) == F.array(*map(F.lit, q)))
 
     for name, q in seqs.items():
-        full = [(i, t) for t in map(plain_words, TEMPLATES.values()) for i in range(len(t)) if t[i : i + len(q)] == q]
+        full = [(i, t) for t in map(plain_words, texts.values()) for i in range(len(t)) if t[i : i + len(q)] == q]
 
         def own(x: Column, i: Column, q: list[str] = q, full: list = full) -> Column:
             ok = (x == q[0]) & at(i, q)
@@ -142,17 +151,17 @@ def notices(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return out
 
 
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: dict[str, str] = TEMPLATES, short: dict[str, str] = NOTICES, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
     """doc_id, license, windows (how many hold it), containment (the most, 0 to 1), start_word (of the first such window), for each row's licenses."""
     spark = df.sparkSession
-    anchor = "|".join(ANCHORS)
+    anchor = "|".join(map(re.escape, anchors))
     some = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(F.col("t").rlike(f"(?i){anchor}"))
     listed = some.select("doc_id", F.monotonically_increasing_id().alias("row"), _words(F.col("t")).alias("w"))
     # the places of the anchors, from 0: only windows around them are cut
     places = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(anchor), i)), lambda i: i.isNotNull())
     held, _ = stage(listed.where(F.size("w") >= K).withColumn("places", places).where(F.size("places") > 0), "license-words")
     windows = None
-    for up, bands, _ in plan():
+    for up, bands, _ in plan(texts, anchors):
         last = F.greatest(F.ceil(F.size("w") / up) - 2, F.lit(0))
         near = F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(F.floor(p / up) - 1, F.floor(p / up)))))
         w = held.select("doc_id", "row", "w", F.explode(F.filter(near, lambda i: (i >= 0) & (i <= last))).alias("i"))
@@ -160,8 +169,9 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
         w = w.withColumn("window", _shingles(F.col("part")))
         w = w.where(F.size("window") > 0).select("doc_id", "row", F.lit(up).alias("grp"), "start_word", "window", F.explode(_bands(F.col("window"), up, bands)).alias("band"))
         windows = w if windows is None else windows.unionByName(w)
-    # the templates are stated above: a few hundred bands
-    hits = windows.join(F.broadcast(templates(spark)), ["grp", "band"]).dropDuplicates(["row", "grp", "start_word", "license"])
+    # a few dozen bands a template that the caller states
+    hits = windows.join(F.broadcast(templates(spark, texts, anchors)), ["grp", "band"]).dropDuplicates(["row", "grp", "start_word", "license"])
     common = F.size(F.array_intersect("window", "template"))
     sure = hits.where(100 * common >= 80 * F.size("template")).select("doc_id", "row", "license", "start_word", (common / F.size("template")).alias("share"))
-    return sure.groupBy("row", "doc_id", "license").agg(F.count(F.lit(1)).alias("windows"), F.max("share").alias("containment"), F.min("start_word").cast("int").alias("start_word")).drop("row").unionByName(notices(df, doc_id, text))
+    found = sure.groupBy("row", "doc_id", "license").agg(F.count(F.lit(1)).alias("windows"), F.max("share").alias("containment"), F.min("start_word").cast("int").alias("start_word")).drop("row")
+    return found.unionByName(notices(df, doc_id, text, short, texts)) if short else found

@@ -96,6 +96,50 @@ def test_op7_recall(spark):
     assert hit >= 0.9 * total
 
 
+def _recall(spark, sf, modulus):
+    """Share of the exact neighbours that op7's search finds."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
+    asked = ids % modulus == 0
+    found = {q: set(g.vec_id) for q, g in ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % modulus == 0).toPandas().groupby("query_id")}
+    want = {int(i): {w for w, _ in near} for i, near in zip(ids[asked], _exact(x, ids, asked, 5))}
+    return sum(len(found[i] & w) for i, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_op7_recall_of_a_larger_table(spark):
+    assert _recall(spark, "/root/testdata/sf0.1", 50) >= 0.9
+
+
+def test_clustered_vectors_take_few_leaves(spark, tmp_path):
+    """20,000 vectors around 400 centres: recall holds with a small share of the leaves."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(400, 32))
+    x = centres[rng.integers(0, 400, 20_000)] + 0.15 * rng.normal(size=(20_000, 32))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    tree, _ = ann.fit(spark.read.parquet(f"{tmp_path}/embeddings.parquet"))
+    assert tree.leaves > 200 and tree.visits < 0.1 * tree.leaves
+    assert _recall(spark, str(tmp_path), 50) >= 0.9
+
+
+def test_leaves_grow_with_the_table(spark):
+    """The sample follows the square root of the rows between its bounds."""
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 4)))], "vec_id long, embedding array<double>")
+    leaves = [ann.fit(df.where(f"vec_id < {n}"), sample_rows=(100, 100_000))[0].leaves for n in (250, 1000, 4000)]
+    assert leaves[0] < leaves[1] < leaves[2]
+
+
+def test_first_of_equal_vectors():
+    """Equal vectors of many ids, and of one id many times: no query loses a neighbour."""
+    ids = np.array([5] * 9 + [7, 3, 8, 9, 11, 12, 13])
+    x = np.ones((len(ids), 2))
+    for k in (1, 3, 5):
+        kept, _ = ann._first_of_equal(ids, x, k)
+        for q in (3, 5, 7, 99):
+            want = sorted(i for i in ids if i != q)[:k]
+            assert sorted(i for i in kept if i != q)[:k] == want
+
+
 def test_ann_ties_hot_leaf_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 64)
     monkeypatch.setattr(ann, "BLOCK", 2)
@@ -147,11 +191,21 @@ def _licenses(text):
     return out
 
 
+def _notices(text):
+    """Brute force: the word sequences of short notices in windows of 8 words."""
+    w = licenses.plain_words(text or "")
+    rest = " ".join(w).replace("released under the mit license", "- - - - -").split()
+    for name, q in (("All-rights-reserved", ["all", "rights", "reserved"]), ("MIT-notice", ["mit", "license"]), ("Apache-2.0-notice", ["apache", "license", "2", "0"])):
+        held = [i for i in range(max(-(-len(rest) // 4) - 2, 0) + 1) if any(rest[j : j + len(q)] == q for j in range(4 * i, min(4 * i + 8, len(rest)) - len(q) + 1))]
+        if held:
+            yield name, len(held), 1.0, 4 * held[0] + 1
+
+
 def test_op5_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     want = []
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
-        want += [(r.doc_id, n, *v) for n, v in _licenses(r.text).items()]
+        want += [(r.doc_id, n, *v) for n, v in _licenses(r.text).items()] + [(r.doc_id, *x) for x in _notices(r.text)]
     assert len(want) > 10
     assert sorted((r.doc_id, r.license, r.windows, r.containment, r.start_word) for r in queries.op5(spark, sf).collect()) == sorted(want)
 
@@ -173,6 +227,17 @@ def test_license_edges(spark):
         assert all(_licenses(f"{fill(n)} {t} {fill(60)}") for n in range(0, 40))
 
 
+def test_license_parameters(spark):
+    """Own templates, one of 150 words, and no notices."""
+    own = {"long": " ".join(f"clause{i} of contract" for i in range(50)), "short": "you may do with this contract as you like"}
+    fill = " ".join(f"y{i}" for i in range(300))
+    df = spark.createDataFrame([(1, f"{fill} {own['long'].upper()}. {fill}"), (2, f"{fill} {own['short']}"), (3, f"All rights reserved. Released under the MIT License. {fill}")], "doc_id long, text string")
+    got = licenses.scan(df, texts=own, short={}, anchors=("contract",)).collect()
+    assert sorted((r.doc_id, r.license, r.containment) for r in got) == [(1, "long", 1.0), (2, "short", 1.0)]
+    with pytest.raises(ValueError):
+        licenses.plan({"x": "no such word in these ten words at all here"}, ("contract",))
+
+
 def test_op5_finds_short_notices(spark):
     """Every row of a short notice against a search of its word sequence in the windows of 8 words; and every document that carries the line has its row."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
@@ -183,15 +248,7 @@ def test_op5_finds_short_notices(spark):
     texts += ["all rights reserved " * 7]
     rows = [(r.doc_id, r.text) for r in docs] + [(100_000 + i, t) for i, t in enumerate(texts)] + [(100_000, texts[0])]
 
-    def brute(text):
-        w = licenses.plain_words(text or "")
-        rest = " ".join(w).replace("released under the mit license", "- - - - -").split()
-        for name, q in (("All-rights-reserved", ["all", "rights", "reserved"]), ("MIT-notice", ["mit", "license"]), ("Apache-2.0-notice", ["apache", "license", "2", "0"])):
-            held = [i for i in range(max(-(-len(rest) // 4) - 2, 0) + 1) if any(rest[j : j + len(q)] == q for j in range(4 * i, min(4 * i + 8, len(rest)) - len(q) + 1))]
-            if held:
-                yield name, len(held), 1.0, 4 * held[0] + 1
-
-    want = sorted((i, *x) for i, t in rows for x in brute(t))
+    want = sorted((i, *x) for i, t in rows for x in _notices(t))
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("license").isin(*licenses.NOTICES)).collect()
     assert sorted((r.doc_id, r.license, r.windows, r.containment, r.start_word) for r in got) == want
     lines = {r.doc_id for r in docs if "All rights reserved." in (r.text or "")}
