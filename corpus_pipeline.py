@@ -5,8 +5,12 @@ document of each class (5-word shingles, similarity 0.8 or more) stays, the one
 smallest id. decontamination: documents that contain a benchmark item go. secrets:
 documents stay, with their secrets replaced. bpe: the token ids of each document.
 
-All stages but the last return the columns of ``documents``. Nulls: a null text is
-empty; a row without doc_id is nobody's duplicate and stays.
+All stages but the last return the columns of ``documents``; others that the table has
+go at the first stage. Nulls: a null text is empty; a row without doc_id is nobody's
+duplicate and stays. Repeated rows of one id: the near-duplicate stage keeps one, the
+first by text, language, source and length. Ties: equal texts under several ids are one
+class, of which the smallest id stays. Very long texts are one row in every stage. An
+empty table gives no rows; without labels every score is 0.5, and all documents stay.
 """
 
 from __future__ import annotations

@@ -120,6 +120,22 @@ def word_hashes(text: bytes, memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, found), U64, len(found))
 
 
+def hashed_words(texts: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts one after the other, and how many each has; a slice's distinct words are hashed once."""
+    memo.trim()
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    ends = lists.offsets.to_numpy().astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    ends -= ends[0]
+    found = lists.flatten().dictionary_encode()
+    distinct = [w.lower() for w in found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)]  # pc.ascii_lower misreads arrays whose first text is not at 0
+    at = found.indices.to_numpy()
+    hashes = np.fromiter(map(memo.__getitem__, distinct), U64, len(distinct))[at] if len(distinct) else np.zeros(0, U64)
+    if (none := found.dictionary.index("").as_py()) >= 0:  # what white space at an end leaves
+        kept = at != none
+        hashes, ends = hashes[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+    return hashes, np.diff(ends)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, element by element."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

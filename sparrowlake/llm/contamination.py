@@ -23,7 +23,8 @@ only as a whole text, or with ``short_inside`` also among the document's shingle
 item's own length. Nulls and texts without words have the empty set: such documents
 hold nothing, such items are in nothing. Repeated items of one id and text count once;
 equal texts under other ids are reported under each. Items without an id are ignored.
-Repeated documents are judged alike, columns named ``leaks`` are replaced, all others
+A very long text is one slice: its shingles are sketched at once. Ties: an item is
+found or not by itself, whatever others are. Repeated documents are judged alike, columns named ``leaks`` are replaced, all others
 carried along; empty tables on either side give no leaks. Item ids are BIGINT.
 """
 

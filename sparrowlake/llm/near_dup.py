@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowlake.llm.common import U64, Memo, drop, mix64, raw, shingles, slices, stage, word_hashes
+from sparrowlake.llm.common import U64, Memo, drop, hashed_words, mix64, shingles, slices, stage
 
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 BANDS, ROWS = 48, 6
@@ -78,8 +78,8 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, k: int, memo: Memo) -> list[np.ndarray]:
-    memo.trim()
-    return [np.unique(shingles(word_hashes(t, memo), k)) for t in raw(texts)]
+    hashes, size = hashed_words(texts, memo)
+    return [np.unique(shingles(h, k)) for h in np.split(hashes, np.cumsum(size)[:-1])] if len(size) else []
 
 
 def sketched(df: DataFrame, doc_id: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
@@ -96,7 +96,7 @@ def sketched(df: DataFrame, doc_id: str, text: str, k: int, bands: int, rows: in
             begin = 0
             while begin < len(some):  # so many documents at a time that bins and elements stay small
                 end, size = begin, 0
-                while end < len(some) and (end == begin or (size < 400_000 and end - begin < 2000)):
+                while end < len(some) and (end == begin or (size < 200_000 and end - begin < 2000)):
                     size += len(sets[some[end]])
                     end += 1
                 part = some[begin:end]

@@ -34,6 +34,39 @@ def test_ids_equal_the_library(library):
         assert bpe.load(queries.tokenizer_path()).decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_words_of_a_slice():
+    """Hashes of words cut in Arrow against bytes.split() and lower()."""
+    import pyarrow as pa
+
+    from sparrowlake.llm.common import Memo, hashed_words, word_hashes
+
+    random.seed(3)
+    texts = [None, "", " ", "\t\n", "A b", " a\x0bB\x0cC\r\n ", "É é\x85x\x1cY\u2003z \0q"] + ["".join(random.choice("aBÉ \n\t\x0b\x1d\u00a0") for _ in range(random.randint(0, 40))) for _ in range(300)]
+    for part in (texts, texts[:2], texts[4:5], []):
+        flat, size = hashed_words(pa.array(part, pa.string()), Memo())
+        want = [word_hashes((t or "").encode(), Memo()) for t in part]
+        assert size.tolist() == [len(w) for w in want] and flat.tolist() == [h for w in want for h in w.tolist()]
+    whole = pa.array(texts[1:], pa.string())  # without nulls a slice shares its buffers with the whole
+    for i in (0, 1, 17, 250):
+        part = [word_hashes(t.encode(), Memo()).tolist() for t in texts[1 + i : 41 + i]]
+        flat, size = hashed_words(whole.slice(i, 40), Memo())
+        assert size.tolist() == list(map(len, part)) and flat.tolist() == sum(part, [])
+
+
+def test_encoders_on_slices(library):
+    """Slices of one array, as batches are cut: their first text does not begin at the buffer's start."""
+    import pyarrow as pa
+
+    random.seed(4)
+    texts = [" ".join("".join(random.choice("abÉ.") for _ in range(random.randint(1, 7))) for _ in range(random.randint(0, 30))) + random.choice(["", "\n", " <|endoftext|> ", "  x"]) for _ in range(60)]
+    whole = pa.array(texts, pa.string())
+    for enc in (bpe.block_encoder(queries.tokenizer_path()), token_orc.library_encoder(queries.tokenizer_path())):
+        for i in (0, 1, 13, 40):
+            ids, counts = enc.encode_block(whole.slice(i, 20))
+            want = [library.encode(t, add_special_tokens=False).ids for t in texts[i : i + 20]]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_two_generations_of_chunks(library):
     """Chunks that move between the generations, or are encoded again, keep their ids."""
     random.seed(2)
