@@ -51,12 +51,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowlake.llm import succinct
-from sparrowlake.llm.common import U64, Memo, add_columns, drop, expire, new_path, raw, slices, word_hashes
+from sparrowlake.llm.common import U64, Memo, add_columns, drop, expire, hashed_words, new_path, slices
 from sparrowlake.llm.succinct import EliasFano
 
 #: The end of a text as a word; a word has no space.
 END = U64(xxhash.xxh3_64_intdigest(b" end"))
-BLOCK_KEYS, SHARD_TOKENS, SHARD_BYTES = 2_500_000, 3_000_000, 16 << 20
+BLOCK_KEYS, SHARD_TOKENS, SHARD_BYTES = 2_500_000, 3_000_000, 4 << 20
 #: Words are dealt to 2^6 shards at least and 2^17 at most.
 LEAST_BITS, MOST_BITS = 6, 17
 PACKED = "shard int, n int, first long, keys binary, counts binary"
@@ -64,13 +64,8 @@ PACKED = "shard int, n int, first long, keys binary, counts binary"
 
 def tokens(texts: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts, each followed by the end, and each text's number of tokens."""
-    memo.trim()
-    parts, size = [], []
-    for t in raw(texts):
-        h = word_hashes(t, memo)
-        parts += [h, np.array([END], U64)]
-        size.append(len(h) + 1)
-    return np.concatenate(parts) if parts else np.zeros(0, U64), np.array(size, np.int64)
+    hashes, size = hashed_words(texts, memo)
+    return np.insert(hashes, np.cumsum(size), END), size + 1
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
