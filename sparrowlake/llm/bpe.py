@@ -27,6 +27,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -203,24 +204,26 @@ class ChunkMemo:
         self.chars += sum(map(len, chunks))
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        """The number of each chunk; chunks that are new come from the old memory, or are encoded."""
-        found = list(map(self.number.get, chunks))
-        new = list(dict.fromkeys([c for c, i in zip(chunks, found) if i is None]))
-        if not new:
-            return np.array(found, np.int64)
-        if self.old is not None:
-            before = self.old.number
-            known, new = [c for c in new if c in before], [c for c in new if c not in before]
-            at = np.fromiter(map(before.__getitem__, known), np.int64, len(known))
-            self._name(known)
-            self._put(self.old.gather(at), self.old.length[at])
-            self.odd[len(self) - len(at) : len(self)] = self.old.odd[at]
+        """The number of each of the distinct chunks; those that are new come from the old memory, or are encoded."""
+        found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        at = np.flatnonzero(found < 0)
+        new = [chunks[i] for i in at.tolist()]
+        if self.old is not None and new:
+            held = np.fromiter(map(self.old.number.get, new, repeat(-1)), np.int64, len(new))
+            known = held >= 0
+            names, numbers = list(compress(new, known)), held[known]
+            found[at[known]] = np.arange(len(self), len(self) + len(names))
+            self._name(names)
+            self._put(self.old.gather(numbers), self.old.length[numbers])
+            self.odd[len(self) - len(names) : len(self)] = self.old.odd[numbers]
+            at, new = at[~known], list(compress(new, ~known))
         if new:
+            found[at] = np.arange(len(self), len(self) + len(new))
             self._name(new)
             self._put(*self.encode_chunks(new))
             # empty ones, and those that begin (after a space) or end with white space, can't be taken as they are
             self.odd[len(self) - len(new) : len(self)] = [c != "\n" and len(c.strip() or "  ") != len(c) - (c[:1] == " ") for c in new]
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        return found
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         return gather(self.flat, self.start, self.length, numbers)
@@ -245,7 +248,9 @@ class BlockEncoder:
             if i % 2:
                 out.append(np.array([self.special[piece]], np.int32))
             elif piece:
-                out.append(self.memo.gather(self.memo.numbers(cut(piece))))
+                chunks = cut(piece)
+                place = dict(zip(dict.fromkeys(chunks), range(len(chunks))))
+                out.append(self.memo.gather(self.memo.numbers(list(place))[[place[c] for c in chunks]]))
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -55,19 +55,28 @@ def library_encoder(path: str) -> bpe.BlockEncoder:
 
     def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[int] = []
-        ends = np.zeros(len(chunks) + 1, np.int64)  # where each chunk's ids end, those of ``whole`` chunks apart
+        upto = [0]  # where each chunk's ids end, those of ``whole`` chunks apart
         whole = []
-        for i, c in enumerate(chunks, 1):
-            body, end = (c[1:] if c[:1] == " " else c), None
-            if body[-1:] in ENDS and len(body) > 1:
-                body, c, end = body[:-1], c[:-1], body[-1]
-            if body.isalpha() and (c.isascii() or max(body) < "\u0250"):  # one pre-token of letters, and one of punctuation: straight to the library's model
-                ids += [x.id for x in tokenize((c if len(c) == len(body) else "\u0120" + body) if c.isascii() else c.encode().decode("latin-1").translate(plain))]
+        for i, c in enumerate(chunks):
+            first, end = c[:1], None
+            body = c[1:] if first == " " else c
+            if body[-1:] in of_end and len(body) > 1:
+                end = body[-1]
+                body, c = body[:-1], c[:-1]
+            if not body.isalpha():
+                whole.append(i)
+            elif c.isascii():  # one pre-token of letters, and one of punctuation: straight to the library's model
+                ids += [x.id for x in tokenize("\u0120" + body if first == " " else c)]
+                if end:
+                    ids.append(of_end[end])
+            elif max(body) < "\u0250":
+                ids += [x.id for x in tokenize(c.encode().decode("latin-1").translate(plain))]
                 if end:
                     ids.append(of_end[end])
             else:
-                whole.append(i - 1)
-            ends[i] = len(ids)
+                whole.append(i)
+            upto.append(len(ids))
+        ends = np.array(upto, np.int64)
         if not whole:
             return np.array(ids, np.int32), np.diff(ends)
         start, counts = ends[:-1].copy(), np.diff(ends)
