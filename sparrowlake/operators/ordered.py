@@ -4,8 +4,8 @@ A rank or running sum over a whole table needs a total order, but not one task:
 are dealt to buckets that respect the order (a day, the leading digits of a hash, the
 leading digits of a number), each bucket is ordered by itself, and the totals of the
 buckets before it are added. Only the buckets' totals meet in one place: a row a bucket,
-and there are 2^14 buckets of a hash, and 4096 for each power of two that a column's
-numbers span, however many rows there are.
+and there are 2^14 buckets of a hash, and 4096 (of ids: 256) for each power of two that a
+column's numbers span, however many rows there are.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers within 1 / STEPS of each other's binary logarithm may share a bucket.
-STEPS = 4096
+#: Numbers within 1 / STEPS of each other's binary logarithm may share a bucket; ids, which lie further apart, take fewer steps.
+STEPS, ID_STEPS = 4096, 256
 
 
 def _offsets(buckets: DataFrame, totals: list[str], descending: bool, keys: list[str]) -> DataFrame:
@@ -58,9 +58,9 @@ def hash_bucket(word: Column, bits: int = 14) -> Column:
     return F.shiftright(word, 32 - bits)
 
 
-def number_bucket(number: Column) -> Column:
-    """Buckets that follow a number's order, as null, -inf .. inf, NaN: sign and leading digits of the logarithm."""
+def number_bucket(number: Column, steps: int = STEPS) -> Column:
+    """Buckets (``steps`` for each power of two) that follow a number's order, as null, -inf .. inf, NaN: sign and leading digits of the logarithm."""
     x = number.cast("double")
-    size = F.floor(F.least(F.log2(F.abs(x)) * STEPS, F.lit(5e6))) + 6_000_000  # 1075 powers of two below 1, 1024 above
+    size = F.floor(F.least(F.log2(F.abs(x)) * steps, F.lit(5e6))) + 6_000_000  # 1075 powers of two below 1, 1024 above
     signed = F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("bigint"))
     return F.when(x.isNull(), F.lit(-20_000_000).cast("bigint")).when(F.isnan(x), F.lit(20_000_000).cast("bigint")).otherwise(signed)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowlake.functions.columns import cosine, md5_word, uniform
-from sparrowlake.operators.ordered import hash_bucket, number_bucket, ranked, running
+from sparrowlake.operators.ordered import ID_STEPS, hash_bucket, number_bucket, ranked, running
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -53,7 +53,7 @@ def weighted_order(df: DataFrame, key: str, weight: Column, n: int, seed: int =
 def item_pool(df: DataFrame, item: str) -> DataFrame:
     """item, freq, and idx from 0 in item order."""
     freq = df.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("item_id")).agg(F.count(F.lit(1)).alias("freq"))
-    r = ranked(freq, number_bucket(F.col("item_id")), [F.col("item_id")], "idx")
+    r = ranked(freq, number_bucket(F.col("item_id"), ID_STEPS), [F.col("item_id")], "idx")
     return r.withColumn("idx", F.col("idx") - 1)
 
 
@@ -110,13 +110,14 @@ def _uniform(log: DataFrame, user: str, item: str, needs: DataFrame, more: int,
 
 def _popularity(log: DataFrame, user: str, item: str, needs: DataFrame, more: int, power: float, seed: int) -> DataFrame:
     pool = item_pool(log, item).withColumn("w", F.pow(F.col("freq").cast("double"), F.lit(power))).withColumn("k", F.greatest(F.round(F.col("w") * 65536), F.lit(1.0)).cast("bigint"))
-    total = pool.agg(F.sum("w").alias("total"), F.sum("k").alias("steps"), F.greatest(F.count(F.lit(1)), F.lit(1024)).alias("cells"))  # as many cells as items
-    cum = running(pool, number_bucket(F.col("item_id")), [F.col("item_id")], ["w", "k"]).crossJoin(F.broadcast(total))
+    total = pool.agg(F.sum("w").alias("total"), F.sum("k").alias("steps"))
+    cells = log.agg(F.greatest(F.countDistinct(item), F.lit(1024)).alias("cells"))  # one row: as many cells as items
+    cum = running(pool, number_bucket(F.col("item_id"), ID_STEPS), [F.col("item_id")], ["w", "k"]).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(cells))
     hi, lo = F.col("cum_w") / F.col("total"), (F.col("cum_w") - F.col("w")) / F.col("total")
     spans = cum.select("item_id", lo.alias("lo"), hi.alias("hi"), "cells")
     spans = spans.withColumn("cell", F.explode(F.sequence(F.greatest(F.floor(F.col("lo") * F.col("cells")) - 1, F.lit(0)), F.least(F.floor(F.col("hi") * F.col("cells")) + 1, F.col("cells") - 1)))).drop("cells")
     u = uniform(F.lit(seed), F.col("user_id"), F.col("draw"))
-    draws = _draws(needs, more).withColumn("u", u).crossJoin(F.broadcast(total.select("cells"))).withColumn("cell", F.floor(F.col("u") * F.col("cells")))
+    draws = _draws(needs, more).withColumn("u", u).crossJoin(F.broadcast(cells)).withColumn("cell", F.floor(F.col("u") * F.col("cells")))
     found = draws.join(spans, "cell").where("u >= lo AND u < hi").select("user_id", "draw", "item_id")
     steps = cum.select("item_id", (F.col("cum_k") - F.col("k")).alias("lo"), F.col("k").alias("w"), F.col("steps").alias("total"), F.expr("steps div cells + 1").alias("width"))
     return _first(found, steps, log, user, item, needs, seed)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowlake.functions.columns import md5_word, pad_truncate
-from sparrowlake.operators.ordered import hash_bucket, number_bucket, ranked, running
+from sparrowlake.operators.ordered import ID_STEPS, hash_bucket, number_bucket, ranked, running
 
 
 def _named(place: Column, n: Column, train: float, val: float) -> Column:
@@ -40,7 +40,7 @@ def per_user(df: DataFrame, user: str, key: str, train: float = 0.8, val: float
 def cumulative(users: DataFrame, user: str, positions: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """user, positions, split: users in id order are train while the running sum of positions is within floor(0.8 total), then val."""
     total = users.agg(F.sum(positions).alias("_t"))
-    x = running(users.select(user, positions), number_bucket(F.col(user)), [F.col(user)], [positions])
+    x = running(users.select(user, positions), number_bucket(F.col(user), ID_STEPS), [F.col(user)], [positions])
     cum, t = F.col(f"cum_{positions}"), F.col("_t")
     a, b = F.floor(t * train), F.floor(t * train) + F.floor(t * val)
     return x.crossJoin(F.broadcast(total)).select(user, positions, F.when(cum <= a, "train").when(cum <= b, "val").otherwise("test").alias("split"))
@@ -73,7 +73,7 @@ def min_action(sequences: DataFrame, seq: str, action: str, least: int, n: int)
 def dense_ids(df: DataFrame, c: str) -> DataFrame:
     """id, dense_id: the distinct non-zero ids in order, numbered from 1; 0 stays for padding and unknown ids."""
     ids = df.where(F.col(c).isNotNull() & (F.col(c) != 0)).select(F.col(c).alias("id")).distinct()
-    return ranked(ids, number_bucket(F.col("id")), [F.col("id")], "dense_id")
+    return ranked(ids, number_bucket(F.col("id"), ID_STEPS), [F.col("id")], "dense_id")
 
 
 def padded(sequences: DataFrame, user: str, items: str, length: int) -> DataFrame:

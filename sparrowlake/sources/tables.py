@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowlake.functions.columns import md5_word, uniform
-from sparrowlake.operators.ordered import number_bucket, running
+from sparrowlake.operators.ordered import ID_STEPS, number_bucket, running
 
 #: Formats that Spark writes here, with their codecs.
 CODECS = {
@@ -170,7 +170,7 @@ def synthetic(spark: SparkSession, users: int, items: int, draws: int, power: fl
 
     def spans(n: int, name: str) -> DataFrame:
         w = spark.range(1, n + 1).select(F.col("id").alias(name), F.pow(F.col("id").cast("double"), F.lit(-power)).alias("w"))
-        cum = running(w, number_bucket(F.col(name)), [F.col(name)], ["w"]).crossJoin(F.broadcast(w.agg(F.sum("w").alias("t"))))
+        cum = running(w, number_bucket(F.col(name), ID_STEPS), [F.col(name)], ["w"]).crossJoin(F.broadcast(w.agg(F.sum("w").alias("t"))))
         x = cum.select(name, ((F.col("cum_w") - F.col("w")) / F.col("t")).alias("lo"), (F.col("cum_w") / F.col("t")).alias("hi"))
         return x.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * 1024), F.least(F.floor(F.col("hi") * 1024), F.lit(1023)))))
 
