@@ -1,5 +1,7 @@
 """Item pairs: many blocks and waves against plain Python, and no shuffle of a row a pair."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -36,7 +38,7 @@ def together(rows):
 
 
 def no_row_a_pair(df):
-    assert "hashpartitioning(item_i" not in df._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(item_i#\w+, item_j", df._jdf.queryExecution().toString())
 
 
 def test_regression(rated, small):
@@ -61,3 +63,19 @@ def test_regression_other_items(spark):
     assert want and {(r.item_i, r.item_j): r[2:] for r in of("string", [(u, str(i), r) for u, i, r in rows]).collect()} == want
     assert of("long", [*rows, (77, 1, None), (77, 2, 1.0)]).count() == len(want)
     assert of("long", rows[:1]).count() == 0
+
+
+def test_regression_predictions(rated, small):
+    rows, x = rated
+    lines = itemcf.regression(x, 3)
+    s = itemcf.regression_predict(x, lines)
+    no_row_a_pair(lines)
+    of, own, want = {(r.item_i, r.item_j): (r.slope, r.intercept) for r in lines.collect()}, {}, {}
+    for u, i, r in rows:
+        own.setdefault(u, {})[i] = r
+    for u, mine in own.items():
+        for (i, j), (slope, start) in of.items():
+            if i in mine and j not in mine:
+                want.setdefault((u, j), []).append(start + slope * mine[i])
+    got = {(r.u, r.item_id): (r.predicted, r.support) for r in s.collect()}
+    assert len(want) > 100 and got.keys() == want.keys() and all(np.allclose(got[k], (np.mean(v), len(v)), atol=2e-6) for k, v in want.items())
