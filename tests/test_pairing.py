@@ -79,3 +79,34 @@ def test_regression_predictions(rated, small):
                 want.setdefault((u, j), []).append(start + slope * mine[i])
     got = {(r.u, r.item_id): (r.predicted, r.support) for r in s.collect()}
     assert len(want) > 100 and got.keys() == want.keys() and all(np.allclose(got[k], (np.mean(v), len(v)), atol=2e-6) for k, v in want.items())
+
+
+def best(sim, k):
+    out = {}
+    for i in {i for i, _ in sim}:
+        mine = sorted((-round(v, 9), j) for (a, j), v in sim.items() if a == i)[:k]
+        out |= {(i, j): (n + 1, sim[i, j]) for n, (_, j) in enumerate(mine)}
+    return out
+
+
+def same(df, sim, k=3):
+    no_row_a_pair(df)
+    got, want = {(r.item_i, r.item_j): (r["rank"], r.sim) for r in df.collect()}, best(sim, k)
+    assert len(want) > 100 and got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
+
+
+def mean(rows, at):
+    held = {}
+    for r in rows:
+        held.setdefault(r[at], []).append(r[2])
+    return {k: sum(v) / len(v) for k, v in held.items()}
+
+
+def test_pearson(rated, small):
+    rows, x = rated
+    m, sim = mean(rows, 1), {}
+    for (i, j), v in together(rows).items():
+        a, b = np.array(v).T - [[m[i]], [m[j]]]
+        if len(v) >= 2 and (a * a).sum() > 1e-12 and (b * b).sum() > 1e-12:
+            sim[i, j] = (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())
+    same(itemcf.pearson(x, 3), sim)
