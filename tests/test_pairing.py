@@ -110,3 +110,13 @@ def test_pearson(rated, small):
         if len(v) >= 2 and (a * a).sum() > 1e-12 and (b * b).sum() > 1e-12:
             sim[i, j] = (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())
     same(itemcf.pearson(x, 3), sim)
+
+
+def test_adjusted_cosine(rated, small):
+    rows, x = rated
+    m = mean(rows, 0)
+    less = [(u, i, r - m[u]) for u, i, r in rows]
+    size = {}
+    for _, i, r in less:
+        size[i] = size.get(i, 0) + r * r
+    same(itemcf.adjusted_cosine(x, 3), {(i, j): sum(a * b for a, b in v) / (size[i] * size[j]) ** 0.5 for (i, j), v in together(less).items() if min(size[i], size[j]) > 1e-12})
