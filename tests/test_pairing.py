@@ -120,3 +120,15 @@ def test_adjusted_cosine(rated, small):
     for _, i, r in less:
         size[i] = size.get(i, 0) + r * r
     same(itemcf.adjusted_cosine(x, 3), {(i, j): sum(a * b for a, b in v) / (size[i] * size[j]) ** 0.5 for (i, j), v in together(less).items() if min(size[i], size[j]) > 1e-12})
+
+
+def cosines(rows):
+    d = {}
+    for _, i, _ in rows:
+        d[i] = d.get(i, 0) + 1
+    return {(i, j): len(v) / (d[i] * d[j]) ** 0.5 for (i, j), v in together(rows).items()}
+
+
+def test_cosine(rated, small):
+    rows, x = rated
+    same(itemcf.cosine(x, 3), cosines(rows))
