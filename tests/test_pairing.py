@@ -132,3 +132,12 @@ def cosines(rows):
 def test_cosine(rated, small):
     rows, x = rated
     same(itemcf.cosine(x, 3), cosines(rows))
+
+
+def test_iuf(rated, small):
+    rows, x = rated
+    n, d = {}, {}
+    for u, i, _ in rows:
+        n[u], d[i] = n.get(u, 0) + 1, d.get(i, 0) + 1
+    weighted = [(u, i, 1 / np.log1p(n[u])) for u, i, _ in rows]
+    same(itemcf.iuf(x, 3), {(i, j): sum(a * b for a, b in v) / (d[i] * d[j]) ** 0.5 for (i, j), v in together(weighted).items()})
