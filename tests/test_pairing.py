@@ -141,3 +141,12 @@ def test_iuf(rated, small):
         n[u], d[i] = n.get(u, 0) + 1, d.get(i, 0) + 1
     weighted = [(u, i, 1 / np.log1p(n[u])) for u, i, _ in rows]
     same(itemcf.iuf(x, 3), {(i, j): sum(a * b for a, b in v) / (d[i] * d[j]) ** 0.5 for (i, j), v in together(weighted).items()})
+
+
+def test_row_normalized(rated, small):
+    rows, x = rated
+    sim, s = best(cosines(rows), 3), itemcf.row_normalized(itemcf.cosine(x, 3))
+    no_row_a_pair(s)
+    got = {(r.item_i, r.item_j): r.sim for r in s.collect()}
+    top = {i: v for (i, _), (rank, v) in sim.items() if rank == 1}
+    assert got.keys() == sim.keys() and all(abs(got[p] - sim[p][1] / top[p[0]]) < 1e-9 for p in sim)
