@@ -150,3 +150,21 @@ def test_row_normalized(rated, small):
     got = {(r.item_i, r.item_j): r.sim for r in s.collect()}
     top = {i: v for (i, _), (rank, v) in sim.items() if rank == 1}
     assert got.keys() == sim.keys() and all(abs(got[p] - sim[p][1] / top[p[0]]) < 1e-9 for p in sim)
+
+
+def test_top_unseen_in_waves(rated, small):
+    """More than one wave of users, and the same rows as in one."""
+    rows, x = rated
+    near = best(cosines(rows), 4)
+    own, want = {}, {}
+    for u, i, r in rows:
+        own.setdefault(u, {})[i] = r
+    for u, mine in own.items():
+        for (i, j), (_, s) in near.items():
+            if i in mine and j not in mine:
+                num, size = want.get((u, j), (0, 0))
+                want[u, j] = (num + s * mine[i], size + s)
+    df = itemcf.top_unseen(x, itemcf.cosine(x, 4), 1000, weighted=True)
+    assert "Exchange" not in df._jdf.queryExecution().toString()  # the waves are written
+    got = {(r.u, r.item_id): (r.score, r.sim_sum) for r in df.collect()}
+    assert len(want) > 100 and got.keys() == want.keys() and all(np.allclose(got[k], (want[k][0] / want[k][1], want[k][1]), atol=2e-6) for k in want)
