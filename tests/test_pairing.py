@@ -168,3 +168,18 @@ def test_top_unseen_in_waves(rated, small):
     assert "Exchange" not in df._jdf.queryExecution().toString()  # the waves are written
     got = {(r.u, r.item_id): (r.score, r.sim_sum) for r in df.collect()}
     assert len(want) > 100 and got.keys() == want.keys() and all(np.allclose(got[k], (want[k][0] / want[k][1], want[k][1]), atol=2e-6) for k in want)
+
+
+def test_experiment_in_waves(spark, small, monkeypatch):
+    """An experiment whose pairs and recommendations come in waves has the figures of one in one wave, and no exchange by pairs of items."""
+    from datetime import datetime, timedelta
+
+    from sparrowlake.plans import runs
+
+    rows = [(u, (u * 5 + n * n) % 30, datetime(2024, 1, 1) + timedelta(days=n), u * 100 + n) for u in range(30) for n in range(12)]
+    log = spark.createDataFrame(rows, "user_id long, item_id long, ts timestamp, row_id long").persist()
+    s = runs.experiment(log, "ts", "row_id")
+    no_row_a_pair(s)
+    got = sorted(map(str, s.collect()))
+    monkeypatch.setattr(pairing, "LEAST_WAVE", 1 << 30)
+    assert len(got) == 10 and got == sorted(map(str, runs.experiment(log, "ts", "row_id").collect()))
