@@ -78,6 +78,13 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first)
 
 
+def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts as one; the list is emptied before they are sorted."""
+    keys, counts = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    return merged(keys, counts)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """The first bytes of all numbers, then the second ones, and so on: what compresses well."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -116,13 +123,13 @@ def _counted(docs: DataFrame, cuts: np.ndarray, keys_of) -> DataFrame:
             held.append((k, c.astype(np.int64)))
             size += len(k)
             if size > BLOCK_KEYS:
-                held = [merged(*map(np.concatenate, zip(*held)))]
+                held = [_together(held)]
                 size = len(held[0][0])
                 if size > BLOCK_KEYS // 2:
                     yield packed(*held[0], cuts)
                     held, size = [], 0
         if size:
-            yield packed(*merged(*map(np.concatenate, zip(*held))), cuts)
+            yield packed(*_together(held), cuts)
 
     return docs.mapInArrow(run, PACKED)
 
@@ -159,6 +166,13 @@ class Levels:
         self.m = model
         self.vocab: dict[int, tuple] = {}
         self.pairs: dict[int, tuple] = {}
+        self.grids: dict[int, np.ndarray] = {}
+
+    def _grid(self, codes: int) -> np.ndarray:
+        """One table of values for all shards."""
+        if codes not in self.grids:
+            self.grids[codes] = grid(self.m.least, codes)
+        return self.grids[codes]
 
     def _vocab(self, s: int):
         if s not in self.vocab:
@@ -172,7 +186,7 @@ class Levels:
             self.pairs[s] = None
         if s not in self.pairs:
             a, b = succinct.load(self.m.folder, f"pairs/{s}"), succinct.load(self.m.folder, f"codes/{s}")
-            self.pairs[s] = (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), EliasFano.of(a, "value"), b["code"], grid(self.m.least, 256), b["back"], grid(self.m.least, 65536))
+            self.pairs[s] = (EliasFano.of(a, "context"), EliasFano.of(a, "pointer"), EliasFano.of(a, "value"), b["code"], self._grid(256), b["back"], self._grid(65536))
         return self.pairs[s]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

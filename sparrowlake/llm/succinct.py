@@ -32,9 +32,8 @@ def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A sequence that never falls: low bits packed, high bits in unary with a rank directory."""
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        self.n, self.bits, self.low, self.high, self.ones, self.zeros = n, bits, low, high, ones, zeros
         self.buckets = len(high) * 64 - n  # as many zeros as there are
 
     @staticmethod
@@ -55,12 +54,13 @@ class EliasFano:
         marks[(values >> U64(bits)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(marks, bitorder="little").view(U64)
         ones = np.cumsum(np.bitwise_count(high).astype(np.int64)) - np.bitwise_count(high)
-        return {"shape": np.array([n, bits], np.int64), "low": low, "high": high, "ones": ones}
+        # both directories are stored, so an opened sequence holds no memory but the mapped file
+        return {"shape": np.array([n, bits], np.int64), "low": low, "high": high, "ones": ones, "zeros": np.arange(len(ones), dtype=np.int64) * 64 - ones}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> "EliasFano":
         n, bits = (int(x) for x in arrays[f"{name}.shape"])
-        return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"])
+        return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"], arrays[f"{name}.zeros"])
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:

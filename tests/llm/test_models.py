@@ -270,3 +270,24 @@ def test_pipeline_quality_stage_with_odd_rows(spark, sf):
     got = corpus_pipeline.quality(spark, docs, sf)
     assert got.columns == corpus_pipeline.COLUMNS and got.count() == rules.classify(docs, learnt).where("predicted = 1").count()
     assert corpus_pipeline.quality(spark, docs.limit(0), sf).count() == 0
+
+
+def test_opened_levels_hold_no_memory_of_their_own(spark, monkeypatch, sf):
+    """Each shard that a task opens is the mapped file alone, and all shards share one table of values: memory does not grow with the shards."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20000)
+    model = lm.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    levels = lm.Levels(model)
+    shards = [levels._pairs(int(s)) for s in np.flatnonzero(model.held)]
+    words = [levels._vocab(int(s)) for s in np.flatnonzero(np.diff(model.first))]
+    assert len(shards) > 3 and len(words) > 3
+
+    def mapped(a):
+        while isinstance(a, np.ndarray):
+            if isinstance(a, np.memmap):
+                return True
+            a = a.base
+        return False
+
+    found = [x for level in shards + words for part in level for x in (part.__dict__.values() if isinstance(part, EliasFano) else [part]) if isinstance(x, np.ndarray)]
+    own = {id(x): x.nbytes for x in found if not mapped(x)}
+    assert len(found) > 20 and len(own) == 2 and sum(own.values()) <= (256 + 65536) * 8
