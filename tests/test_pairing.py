@@ -178,6 +178,7 @@ def test_experiment_in_waves(spark, small, monkeypatch):
 
     rows = [(u, (u * 5 + n * n) % 30, datetime(2024, 1, 1) + timedelta(days=n), u * 100 + n) for u in range(30) for n in range(12)]
     log = spark.createDataFrame(rows, "user_id long, item_id long, ts timestamp, row_id long").persist()
+    monkeypatch.setattr(pairing, "LEAST_WAVE", 20_000)
     s = runs.experiment(log, "ts", "row_id")
     no_row_a_pair(s)
     got = sorted(map(str, s.collect()))
