@@ -152,6 +152,45 @@ def test_row_normalized(rated, small):
     assert got.keys() == sim.keys() and all(abs(got[p] - sim[p][1] / top[p[0]]) < 1e-9 for p in sim)
 
 
+def test_row_normalized_in_blocks(rated, small):
+    """Scaled where the pairs are added up: the same figures, and nothing is shuffled after the blocks."""
+    rows, x = rated
+    sim, s = best(cosines(rows), 3), itemcf.cosine(x, 3, normed=True)
+    assert "Exchange" not in s._jdf.queryExecution().toString()
+    got = {(r.item_i, r.item_j): r.sim for r in s.collect()}
+    top = {i: v for (i, _), (rank, v) in sim.items() if rank == 1}
+    assert got.keys() == sim.keys() and all(abs(got[p] - sim[p][1] / top[p[0]]) < 1e-9 for p in sim)
+    assert itemcf.cosine(x.where("u < 0"), 3, normed=True).count() == 0
+
+
+def test_row_normalized_of_texts(spark):
+    rows = [(u, str(i)) for u in range(9) for i in range(5) if (u * 3 + i * i) % 4]
+    x = itemcf.pairs(spark.createDataFrame(rows, "user_id long, item_id string"), "user_id", "item_id")
+    got = {(r.item_i, r.item_j): r.sim for r in itemcf.cosine(x, 3, normed=True).collect()}
+    assert got and got == {(r.item_i, r.item_j): r.sim for r in itemcf.row_normalized(itemcf.cosine(x, 3)).collect()}
+
+
+def test_waves_let_their_files_go(spark, rated, small, monkeypatch):
+    """Each wave finds no shuffle file of one before it, and only the result stays of the tables written."""
+    import time
+    from pathlib import Path
+
+    _, x = rated
+    tables = lambda: {p.name for p in Path(pairing._shared(spark).removeprefix("file://"), "sparrowlake").glob("*")}
+    before, live, let_go = tables(), [], pairing.let_go
+    shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    def counted(s):
+        let_go(s)
+        time.sleep(0.3)  # the cleaner works in the background
+        live.append(shuffles())
+
+    monkeypatch.setattr(pairing, "let_go", counted)
+    s = itemcf.cosine(x, 3)
+    assert len(live) > 4 and live[-1] <= live[2]
+    assert len(tables() - before) == 1 and s.count() > 100
+
+
 def test_top_unseen_in_waves(rated, small):
     """More than one wave of users, and the same rows as in one."""
     rows, x = rated
