@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowlake.operators import distribution, encoders, itemcf, missing, overview, profiles, ranking, sampling, sparsity, splits
+from sparrowlake.operators import distribution, encoders, itemcf, missing, overview, pairing, profiles, ranking, sampling, sparsity, splits
 from sparrowlake.sources import tables
 
 #: Other names of the metrics.
@@ -135,12 +135,23 @@ def write_predictions(df: DataFrame, path: str, kind: str = "pointwise", split:
 
 
 def experiment(log: DataFrame, ts: str, row: str, similarity: Callable[[DataFrame, int], DataFrame] = itemcf.cosine, neighbours: int = 20, k: int = 10) -> DataFrame:
-    """Split by time, fit, take the best unseen items, evaluate: metric, value, std, group_count."""
-    x = splits.temporal(log, ts, row)
-    train = itemcf.pairs(x.where("split = 'train'"), "user_id", "item_id")
-    held = x.where("split <> 'train'").select(F.col("user_id").alias("group_id"), F.col("item_id").alias("candidate_id")).distinct().withColumn("relevance", F.lit(1))
+    """Split by time, fit, take the best unseen items, evaluate: metric, value, std, group_count.
+
+    The log, its split and the pairs to fit on are written once, and each goes when nothing reads it any more.
+    """
+    log = pairing.stage(iter([log.select("user_id", "item_id", F.col(ts).alias("ts"), F.col(row).alias("row"))]), "log")
+    pairing.let_go(log.sparkSession)
+    x = pairing.stage(iter([splits.temporal(log, "ts", "row").select("user_id", "item_id", (F.col("split") == "train").alias("early"))]), "split")
+    pairing.drop(log)
+    pairing.let_go(x.sparkSession)
+    train = pairing.stage(iter([itemcf.pairs(x.where("early"), "user_id", "item_id")]), "train")
+    held = x.where("NOT early").select(F.col("user_id").alias("group_id"), F.col("item_id").alias("candidate_id")).distinct().withColumn("relevance", F.lit(1))
     totals = held.groupBy("group_id").agg(F.count(F.lit(1)).alias("total"))
-    rec = itemcf.top_unseen(train, similarity(train, neighbours), k).select(F.col("u").alias("group_id"), F.col("item_id").alias("candidate_id"), (-F.col("rank")).cast("double").alias("score"))
+    sim = similarity(train, neighbours)
+    best = itemcf.top_unseen(train, sim, k)
+    if pairing.written(best):
+        pairing.drop(train, sim)
+    rec = best.select(F.col("u").alias("group_id"), F.col("item_id").alias("candidate_id"), (-F.col("rank")).cast("double").alias("score"))
     flat = rec.join(totals.select("group_id"), "group_id", "left_semi").join(held, ["group_id", "candidate_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
     return ranking.summary(flat, ranking.group_metrics(flat, (5, k), totals), (5, k))
 

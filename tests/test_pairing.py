@@ -223,3 +223,44 @@ def test_experiment_in_waves(spark, small, monkeypatch):
     got = sorted(map(str, s.collect()))
     monkeypatch.setattr(pairing, "LEAST_WAVE", 1 << 30)
     assert len(got) == 10 and got == sorted(map(str, runs.experiment(log, "ts", "row_id").collect()))
+
+
+def test_top_unseen_by_blocks(spark, small, monkeypatch):
+    """Many blocks of users against plain Python: negative similarities and ids, an item of many users, and items without similar ones; texts give the same by a join."""
+    from sparrowlake.operators import unseen
+
+    monkeypatch.setattr(unseen, "MANY_USERS", 10)
+    rng = np.random.default_rng(3)
+    own = {u: {int(i) * 3 - 40 for i in rng.choice(50, 7)} | {500} for u in range(-20, 60)}
+    near = {(i * 3 - 40, int(j) * 3 - 40): float(rng.integers(-3, 9)) / 8 for i in range(45) for j in rng.choice(60, 6) if i != j} | {(500, 503): 0.25}
+    for plain in (False, True):
+        sims, want = {p: abs(s) + 0.125 if plain else s for p, s in near.items()}, {}
+        for u, mine in own.items():
+            got = {}
+            for (i, j), s in sims.items():
+                if i in mine and j not in mine:
+                    num, size = got.get(j, (0, 0))
+                    got[j] = (num + s, size + abs(s))
+            fresh = sorted((-round(n / z, 6), -round(z, 6), j) for j, (n, z) in got.items() if z > 0)[:5]
+            want |= {(u, r + 1): (j, -a, -b) for r, (a, b, j) in enumerate(fresh)}
+        x = lambda kind: spark.createDataFrame([(kind(u), i, 1.0) for u, mine in own.items() for i in mine], f"u {'string' if kind is str else 'long'}, i long, r double")  # noqa: B023, E731
+        df = spark.createDataFrame([(i, j, s) for (i, j), s in sims.items()], "item_i long, item_j long, sim double")
+        found = itemcf.top_unseen(x(int), df, 5)
+        assert unseen.top(x(int), df, 5) is not None and unseen.top(x(str), df, 5) is None
+        for got in (found, itemcf.top_unseen(x(str), df, 5)):
+            assert {(int(r.u), r["rank"]): (r.item_id, r.score, r.sim_sum) for r in got.collect()} == want
+
+
+def test_experiment_keeps_no_tables(spark):
+    """Only the split and the recommendations that the result reads stay on disk."""
+    from datetime import datetime, timedelta
+    from pathlib import Path
+
+    from sparrowlake.plans import runs
+
+    rows = [(u, (u * 5 + n * n) % 30, datetime(2024, 1, 1) + timedelta(days=n), u * 100 + n) for u in range(9) for n in range(12)]
+    folder = Path(pairing._shared(spark).removeprefix("file://"), "sparrowlake")
+    before = set(folder.glob("*"))
+    s = runs.experiment(spark.createDataFrame(rows, "user_id long, item_id long, ts timestamp, row_id long"), "ts", "row_id")
+    assert sorted(p.name.split("-")[0] for p in set(folder.glob("*")) - before) == ["split", "unseen"]
+    assert s.count() == 10
