@@ -2,10 +2,10 @@
 
 Documents are range partitioned by id, so each file holds a run of ids in ascending
 order and the stripes' statistics prune reads by id; the Bloom filter serves point
-reads. A row is (doc_id, part, offset, ids): ``part`` numbers the files' ranges in
-order and ``offset`` counts the ids before the row within its part. The start of a
-document in the whole corpus is then its part's start plus its offset, which takes one
-row a part and no sort.
+reads. A row is (doc_id, part, offset, size, ids): ``part`` numbers the files' ranges in
+order, ``offset`` counts the ids before the row within its part, and ``size`` its own. The
+start of a document in the whole corpus is then its part's start plus its offset, which
+takes one row a part, no sort, and no reading of the ids.
 
 The ids are those of the tokenizers library. Texts are cut at places that no
 pre-token crosses (see ``bpe``), and the library encodes each different chunk once.
@@ -34,6 +34,8 @@ from sparrowlake.llm.common import expire, new_path, slices
 #: Punctuation that is a pre-token of its own after a letter and before a space.
 ENDS = ".,;:!?"
 IDS = T.ArrayType(T.IntegerType())
+#: Of text in a slice: a word that comes again in it is looked up once.
+SLICE_BYTES = 8 << 20
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
 
@@ -97,23 +99,23 @@ def write(df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text
 
     def run(batches):
         enc, part, before = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in (x for batch in batches for x in slices(batch, 1)):
+        for b in (x for batch in batches for x in slices(batch, 1, SLICE_BYTES)):
             ids, sizes = enc.encode_block(b.column(1))
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             offsets = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(offsets), bpe.id_lists(ids, sizes)], names=["doc_id", "part", "offset", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(sizes), part, np.int32)), pa.array(offsets), pa.array(sizes, pa.int64()), bpe.id_lists(ids, sizes)], names=["doc_id", "part", "offset", "size", "ids"])
 
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("ids", IDS)])
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", IDS)])
     ordered.mapInArrow(run, schema).write.options(**OPTIONS | options).orc(path)
 
 
 def read(spark: SparkSession, path: str, id_type: T.DataType = T.LongType()) -> DataFrame:
     """Rows of the files with each document's ``start`` in the corpus: doc_id, start, ids, offset, part."""
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("part", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("ids", IDS)])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("part", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("ids", IDS)])
     rows = spark.read.schema(schema).orc(path)
     # one row a part, and a part is what one write task made: the bound of this broadcast is the number of tasks
-    parts = rows.groupBy("part").agg(F.max(F.col("offset") + F.size("ids")).alias("total")).selectExpr("part", "sum(total) OVER (ORDER BY part) - total AS part_start")
+    parts = rows.groupBy("part").agg(F.max(F.col("offset") + F.col("size")).alias("total")).selectExpr("part", "sum(total) OVER (ORDER BY part) - total AS part_start")
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("part_start") + F.col("offset")).alias("start"), "ids", "offset", "part")
 
 

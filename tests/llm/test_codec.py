@@ -171,3 +171,16 @@ def test_shard_edges(spark):
     assert got.columns == ["k", "row_number", "shard", "slot"] and sorted(r.row_number for r in got.collect()) == [0, 1, 2, 3]
     assert sharding.shard(df.limit(0), ["k"], 3).count() == 0
     assert got.select(F.countDistinct("shard", "slot")).first()[0] == 4
+
+
+def test_token_orc_totals_read_no_ids(spark, tmp_path):
+    """Where the parts begin comes from the sizes beside the ids."""
+    from sparrowlake.llm import token_orc
+    from sparrowlake.llm.queries import tokenizer_path
+
+    token_orc.write(spark.createDataFrame([(i, "a few words " * i) for i in range(40)], "doc_id long, text string"), f"file://{tmp_path}/o", tokenizer_path())
+    x = token_orc.read(spark, f"file://{tmp_path}/o")
+    scans = [line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in line]
+    assert len(scans) == 2 and sum("ids:array" in s for s in scans) == 1
+    rows = sorted(x.collect())
+    assert [r.start for r in rows] == [sum(len(q.ids) for q in rows[:i]) for i in range(40)]
