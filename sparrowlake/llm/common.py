@@ -73,7 +73,7 @@ def slices(batch: pa.RecordBatch, at: int, most: int = 3 << 20) -> Iterator[pa.R
             yield batch.slice(i, j - i)
 
 
-def add_columns(df: DataFrame, source: str, new: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+def add_columns(df: DataFrame, source: str, new: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], most: int = 3 << 20) -> DataFrame:
     """``df`` with Arrow columns computed from column ``source``, a slice of a batch at a time; ``make`` runs once a task and returns the function of a slice."""
     names = [f.name for f in new]
     if source.lower() in {n.lower() for n in names}:
@@ -84,7 +84,7 @@ def add_columns(df: DataFrame, source: str, new: list[T.StructField], make: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for b in slices(batch, at):
+            for b in slices(batch, at, most):
                 yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(at))], names=[*b.schema.names, *names])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))

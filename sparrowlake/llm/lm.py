@@ -56,7 +56,9 @@ from sparrowlake.llm.succinct import EliasFano
 
 #: The end of a text as a word; a word has no space.
 END = U64(xxhash.xxh3_64_intdigest(b" end"))
-BLOCK_KEYS, SHARD_TOKENS, SHARD_BYTES = 2_500_000, 3_000_000, 4 << 20
+BLOCK_KEYS, SHARD_TOKENS, SHARD_BYTES = 2_500_000, 4_000_000, 32 << 20
+#: Bytes of text whose tokens are looked up together: a slice has a part of its own in nearly every shard, so few slices and few shards keep the number of these parts low.
+SLICE_BYTES = 8 << 20
 #: Words are dealt to 2^6 shards at least and 2^17 at most.
 LEAST_BITS, MOST_BITS = 6, 17
 PACKED = "shard int, n int, first long, keys binary, counts binary"
@@ -118,7 +120,7 @@ def _counted(docs: DataFrame, cuts: np.ndarray, keys_of) -> DataFrame:
         of = keys_of()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for b in (x for batch in batches for x in slices(batch, 0)):
+        for b in (x for batch in batches for x in slices(batch, 0, SLICE_BYTES)):
             k, c = np.unique(of(b.column(0)), return_counts=True)
             held.append((k, c.astype(np.int64)))
             size += len(k)
@@ -319,9 +321,13 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     total, vocab = sum(r.tokens for r in found), int(first[-1])
     if vocab >= 1 << 32:
         raise ValueError("ids have 32 bits")
-    pair_cuts = {0}
-    for r in found:
-        pair_cuts |= {int(first[r.shard]) << 32} | {(int(first[r.shard] + i) << 32) + int(x * vocab) for i, x in zip(r.at, r.share)}
+    pair_cuts, left = {0}, 0
+    for r in sorted(found, key=lambda r: r.shard):
+        if left + min(r.tokens, SHARD_TOKENS) > SHARD_TOKENS:  # else pairs of this shard's words go on in the shard before
+            pair_cuts.add(int(first[r.shard]) << 32)
+            left = 0
+        pair_cuts |= {(int(first[r.shard] + i) << 32) + int(x * vocab) for i, x in zip(r.at, r.share)}
+        left = r.tokens - SHARD_TOKENS * len(r.at) if len(r.at) else left + r.tokens
     model = Model(folder, bits, first, total, vocab, np.array(sorted(pair_cuts), U64))
     if not vocab:
         return model
@@ -416,4 +422,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return of
 
-    return add_columns(df, text, [T.StructField(n, t) for n, t in (("n_tokens", long), ("n_known", long), ("train_tokens", long), ("base_score", double), ("score", double))], make)
+    return add_columns(df, text, [T.StructField(n, t) for n, t in (("n_tokens", long), ("n_known", long), ("train_tokens", long), ("base_score", double), ("score", double))], make, SLICE_BYTES)

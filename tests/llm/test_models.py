@@ -291,3 +291,16 @@ def test_opened_levels_hold_no_memory_of_their_own(spark, monkeypatch, sf):
     found = [x for level in shards + words for part in level for x in (part.__dict__.values() if isinstance(part, EliasFano) else [part]) if isinstance(x, np.ndarray)]
     own = {id(x): x.nbytes for x in found if not mapped(x)}
     assert len(found) > 20 and len(own) == 2 and sum(own.values()) <= (256 + 65536) * 8
+
+
+def test_few_shards_of_pairs(spark, monkeypatch, sf):
+    """Pairs of several shards of words share a shard until it is full, so the shards follow the tokens and not the 64 shards of words; scores stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = lm.train(docs)
+    assert len(model.cuts) == 1 + model.tokens // lm.SHARD_TOKENS
+    whole = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    monkeypatch.setattr(lm, "SHARD_TOKENS", model.tokens // 5)
+    model = lm.train(docs)
+    assert 5 <= len(model.cuts) <= 16
+    parts = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    assert whole.keys() == parts.keys() and all(abs(parts[k] - v) < 1e-3 * abs(v) for k, v in whole.items())
