@@ -264,3 +264,35 @@ def test_experiment_keeps_no_tables(spark):
     s = runs.experiment(spark.createDataFrame(rows, "user_id long, item_id long, ts timestamp, row_id long"), "ts", "row_id")
     assert sorted(p.name.split("-")[0] for p in set(folder.glob("*")) - before) == ["split", "unseen"]
     assert s.count() == 10
+
+
+def counts(df):
+    return {(r.item_i, r.item_j): r.together for r in df.collect()}
+
+
+@pytest.mark.parametrize("bytes_each", [0, 1 << 20])
+def test_cooccurrence(rated, small, monkeypatch, bytes_each):
+    """In waves and in one pass; the counts of two batches, of other users or the same, are added up with no row a pair either."""
+    monkeypatch.setattr(pairing, "ONCE_BYTES", bytes_each)
+    rows, x = rated
+    want = {k: len(v) for k, v in together(rows).items() if k[0] < k[1]}
+    whole = itemcf.cooccurrence(x)
+    no_row_a_pair(whole)
+    assert counts(whole) == want and len(want) > 500
+    parts = itemcf.merge_cooccurrence(itemcf.cooccurrence(x.where("u % 2 = 0")), itemcf.cooccurrence(x.where("u % 2 = 1")))
+    no_row_a_pair(parts)
+    assert counts(parts) == want
+    assert counts(itemcf.merge_cooccurrence(whole, parts)) == {k: 2 * n for k, n in want.items()}
+    assert counts(itemcf.cooccurrence(x.where("u < 0"))) == {} and counts(itemcf.merge_cooccurrence(itemcf.cooccurrence(x.where("u < 0")), whole)) == want
+
+
+def test_cooccurrence_of_other_items(spark, rated):
+    """Items that are texts or lie far apart, and counts that come from elsewhere."""
+    rows, x = rated
+    want = {k: len(v) for k, v in together(rows).items() if k[0] < k[1]}
+    text = itemcf.cooccurrence(x.selectExpr("u", "concat('a', lpad(i + 200, 12, '0')) AS i", "r"))
+    assert sorted(r.together for r in text.collect()) == sorted(want.values())
+    far = lambda i: i + (1 << 40) * (i == 999)
+    assert counts(itemcf.cooccurrence(x.unionAll(spark.createDataFrame([(0, far(999), 1.0)], x.schema)))).items() >= want.items()
+    stored = spark.createDataFrame([(i, j, n) for (i, j), n in want.items()], "item_i long, item_j long, together long")
+    assert counts(itemcf.merge_cooccurrence(stored, itemcf.cooccurrence(x))) == {k: 2 * n for k, n in want.items()}
